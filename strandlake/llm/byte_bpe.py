@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import text_of
 from .token_packing import blocks
+from .word_encoder import looked_up
 
 #: Pre-tokens kept with their ids; bounds the memory of a worker.
 CACHE_ENTRIES = 1 << 20
@@ -109,11 +110,12 @@ class ByteCoder:
         split = [self.pattern.findall(x) for x in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        missing = set(chain.from_iterable(split)).difference(self.cache)
-        if missing:
-            self._learn(list(missing))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        found = looked_up(self.cache, list(chain.from_iterable(split)), lambda new: self._learn(list(new)))
+        out, at = [], 0
+        for s in split:
+            out.append(b"".join(found[at : at + len(s)]))
+            at += len(s)
+        return out
 
     def decode(self, coded: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(coded, "<u4").tolist()))

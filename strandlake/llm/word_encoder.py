@@ -87,8 +87,20 @@ class WordEncoder:
         split = [x.split() if ok else [] for x, ok in zip(texts, plain)]
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()
-        missing = set(chain.from_iterable(split)).difference(self.chunks)
-        if missing:
-            self._learn(missing)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) if ok else self.whole(x) for x, s, ok in zip(texts, split, plain)]
+        found = looked_up(self.chunks, list(chain.from_iterable(split)), self._learn)
+        out, at = [], 0
+        for x, s, ok in zip(texts, split, plain):
+            out.append(b"".join(found[at : at + len(s)]) if ok else self.whole(x))
+            at += len(s)
+        return out
+
+
+def looked_up(cache: dict[str, bytes], keys: list[str], learn) -> list[bytes]:
+    """The cache's entry for each key; `learn` first adds those that it misses. One look at each key."""
+    found = list(map(cache.get, keys))
+    missing = [i for i, x in enumerate(found) if x is None]
+    if missing:
+        learn({keys[i] for i in missing})
+        for i in missing:
+            found[i] = cache[keys[i]]
+    return found
