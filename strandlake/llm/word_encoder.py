@@ -21,7 +21,7 @@ CALL = 256
 #: The pre-token pattern of the vocabulary file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: str.split() cuts at these, the pattern above does not.
-_ODD = regex.compile(r"[\x1c-\x1f]|<\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -65,13 +65,19 @@ class WordEncoder:
                 self.tokens[token] = raw[at:stop]
                 at = stop
 
+    def _parts(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The pre-tokens of a chunk. A word of common letters, with one mark after it or none, needs
+        no pattern. A capital sigma is lower-cased for itself: str.lower() looks at its neighbours."""
+        low = chunk.lower() if "\u03a3" not in chunk else "".join(c.lower() for c in chunk)
+        if low.isalpha() and max(low) < "\u0250":
+            return (low,)
+        if low[-1] in ".,!?;:" and low[:-1].isalpha() and max(low) < "\u0250":
+            return (low[:-1], low[-1])
+        return self.pattern.findall(low)
+
     def _learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        parts = [self.pattern.findall(x.lower()) if x.isascii() else None for x in new]
-        for i, x in enumerate(new):
-            if parts[i] is None:
-                # Lower-cased letter by letter: str.lower() looks at a capital sigma's neighbours.
-                parts[i] = self.pattern.findall("".join(c.lower() for c in x))
+        parts = [self._parts(x) for x in new]
         if len(self.tokens) > CACHE_ENTRIES:
             self.tokens.clear()
         known = self.tokens
@@ -83,7 +89,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [not _ODD.search(x) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts]
+        plain = [not any(o in x for o in _ODD) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts]
         split = [x.split() if ok else [] for x, ok in zip(texts, plain)]
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()
