@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_files, token_packing
+from . import byte_bpe, chat_formatting, merkle, token_files, token_packing
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.op1_chat_formatting(spark, table(spark, sf_dir, "conversations"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op2_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op6_token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -27,8 +35,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_files, op7_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op6_token_files, op7_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat_formatting.ORACLE}

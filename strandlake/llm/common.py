@@ -47,3 +47,22 @@ def text_of(column: str = "text") -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cut_points(df: DataFrame, column: str, parts: int) -> list[int]:
+    """At most parts - 1 rising values that split the column's rows about evenly: what comes to the
+    driver grows with the number of parts alone."""
+    shares = [i / parts for i in range(1, parts)]
+    if not shares:
+        return []
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * parts))).first()[0]
+    return sorted(set(found or []))
+
+
+def bucket_of(value: Column, points: list[int]) -> Column:
+    """How many of the rising points lie below the value: binary search in an array of constants."""
+    if not points:
+        return F.lit(0)
+    held = F.array(*[F.lit(p).cast("long") for p in points])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
