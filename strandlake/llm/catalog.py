@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_formatting, language_id, merkle, quality_rules, token_files, token_packing
+from . import byte_bpe, chat_formatting, language_id, merkle, minhash_dedup, quality_rules, token_files, token_packing
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,12 +38,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8_language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.op9_minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op10_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op5_quality_rules, op6_token_files, op7_byte_bpe, op8_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op5_quality_rules, op6_token_files, op7_byte_bpe, op8_language_id, op9_minhash_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
