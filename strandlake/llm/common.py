@@ -66,3 +66,23 @@ def bucket_of(value: Column, points: list[int]) -> Column:
     held = F.array(*[F.lit(p).cast("long") for p in points])
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with each whole text (null: empty) as a zstandard frame: what texts weigh in a shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        code = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([code.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, text binary")
+
+
+def expanded(frame: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(frame).decode()

@@ -74,8 +74,8 @@ class Words:
         short = np.flatnonzero((counts > 0) & (counts < k))
         for i in short.tolist():
             n, x = int(counts[i]), U(0)
-            for y in w[self.first[i] : self.first[i + 1]]:
-                x = x * STEP + y
+            for y in w[self.first[i] : self.first[i + 1]].tolist():
+                x = U((int(x) * int(STEP) + y) & 0xFFFFFFFFFFFFFFFF)
             at = self.first[i]
             rolled[at], keep[at] = mix(np.array([x ^ U(n)]))[0], True
         kept = np.concatenate([[0], np.cumsum(keep)])
@@ -85,3 +85,13 @@ class Words:
         """The distinct shingles of each text, sorted."""
         numbers, first = self.shingles(k)
         return [np.unique(numbers[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def sliding(x: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
+    """The best of each `width` numbers in a row (the result is width - 1 shorter), by doubling."""
+    done, out = 1, x
+    while done < width:
+        step = min(done, width - done)
+        out = best(out[: len(out) - step], out[step:])
+        done += step
+    return out
