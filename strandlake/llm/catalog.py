@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_formatting, language_id, merkle, minhash_dedup, quality_rules, suffix_dedup, token_files, token_packing
+from . import byte_bpe, chat_formatting, compact_windows, language_id, merkle, minhash_dedup, quality_rules, suffix_dedup, token_files, token_packing
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op3_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.op4_compact_windows(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op3_suffix_dedup, op5_quality_rules, op6_token_files, op7_byte_bpe, op8_language_id, op9_minhash_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_fingerprints, op3_suffix_dedup, op4_compact_windows, op5_quality_rules, op6_token_files, op7_byte_bpe, op8_language_id, op9_minhash_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
