@@ -21,7 +21,7 @@ from .word_encoder import encoder
 
 #: Texts encoded at once; bounds what a task holds.
 BATCH_TEXTS = 512
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 ENCODED = "part int, place long, doc_id long, n_tokens long, before long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -13,10 +13,12 @@ from tests.llm.test_tokens import check_packing
 
 def test_compact_windows_are_all_and_only():
     rng = np.random.default_rng(1)
-    for n in (3, 10, 60, 200):
-        x = rng.integers(1, 40, n).astype(np.uint64)
-        got = {(c, i, j) for a, c, b in compact_windows.compact_windows(x, 10) for i in range(a, c + 1) for j in range(max(c, i + 9), b + 1)}
-        assert got == {(i + int(x[i : j + 1].argmin()), i, j) for i in range(n) for j in range(i + 9, n)}
+    for sizes in ((3,), (10,), (60, 0, 9, 10), (200, 5, 40)):
+        texts = [rng.integers(1, 40, n).astype(np.uint64) for n in sizes]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        found = compact_windows.compact_windows(np.concatenate(texts), first, 10)
+        got = {(t, c, i, j) for t, a, c, b in zip(*map(np.ndarray.tolist, found)) for i in range(a, c + 1) for j in range(max(c, i + 9), b + 1)}
+        assert got == {(t, i + int(x[i : j + 1].argmin()), i, j) for t, x in enumerate(texts) for i in range(len(x)) for j in range(i + 9, len(x))}
 
 
 def words(rng, n):
