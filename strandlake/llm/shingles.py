@@ -10,23 +10,25 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BASE, STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD1B54A32D192ED03 | 1)
-_POWERS = np.ones(1 << 12, U)
+STEP = U(0xD1B54A32D192ED03)
+_rng = np.random.default_rng(31)
+SYMBOLS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+BASE = U(0xC6A4A7935BD1E995)
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
+_tables: dict[str, np.ndarray] = {}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS) or _POWERS[1] == 1:
-        out = np.empty(max(n, 1 << 12), U)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(np.full(len(out) - 1, BASE), out=out[1:])
-        _POWERS = out
-    return _POWERS
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of a base and of its inverse: with them the polynomial hash of any stretch
+    comes from a running sum."""
+    if len(_tables.get("up", ())) < n:
+        for name, base in (("up", BASE), ("down", INVERSE)):
+            _tables[name] = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n * 5 // 4, base)]))
+    return _tables["up"], _tables["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,14 +53,10 @@ class Words:
         self.begin, self.end = edges[::2], edges[1::2]
         self.offsets = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])])
         self.first = np.searchsorted(self.begin, self.offsets)
-        if len(self.begin):
-            inside = ~space
-            place = np.arange(len(self.raw)) - np.repeat(self.begin, np.diff(np.append(self.begin, len(self.raw)))) if self.begin[0] == 0 else np.concatenate([np.zeros(self.begin[0], int), np.arange(self.begin[0], len(self.raw)) - np.repeat(self.begin, np.diff(np.append(self.begin, len(self.raw))))])
-            table = powers(int(place.max()) + 1)
-            value = (self.raw.astype(U) + U(1)) * table[place] * inside
-            self.numbers = mix(np.add.reduceat(value, self.begin))
-        else:
-            self.numbers = np.zeros(0, U)
+        up, down = powers(len(self.raw) + 1)
+        sums = np.zeros(len(self.raw) + 1, U)
+        np.cumsum(SYMBOLS[self.raw] * up[: len(self.raw)], out=sums[1:])
+        self.numbers = mix((sums[self.end] - sums[self.begin]) * down[self.begin])
 
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all k-word shingles in order, and each text's first one. A text with fewer words, but

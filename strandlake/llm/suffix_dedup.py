@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import compressed, expanded, shuffle_width, text_of, written
-from .shingles import U, mix, sliding
+from .shingles import SYMBOLS, U, mix, powers, sliding
 from .token_packing import blocks
 
 LENGTH, ANCHOR = 100, 32
@@ -41,20 +41,6 @@ PAD = 256
 NO_ID = -(1 << 63)
 #: Anchors that a task combines at once.
 COMBINE = 1_000_000
-_rng = np.random.default_rng(31)
-SYMBOLS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = U(0xC6A4A7935BD1E995)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            _tables[name] = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n * 5 // 4, base)]))
-    return _tables["up"], _tables["down"]
-
-
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of the anchors of all texts: text, place, anchor hash, hash of the surroundings, begin and end of these."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -63,7 +49,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(raw)
     if n < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, U)
     np.cumsum(SYMBOLS[raw] * up[:n], out=sums[1:])
     grams = mix((sums[ANCHOR:] - sums[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1])
