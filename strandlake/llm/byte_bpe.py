@@ -22,7 +22,7 @@ from .token_packing import blocks
 from .word_encoder import looked_up
 
 #: Pre-tokens kept with their ids; bounds the memory of a worker.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 3 << 18
 
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 

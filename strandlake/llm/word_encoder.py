@@ -14,8 +14,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Entries after which a cache starts anew; bounds the memory of a worker.
-CACHE_ENTRIES = 1 << 20
+#: Entries after which a cache starts anew; they bound the memory of a worker.
+CHUNK_ENTRIES, TOKEN_ENTRIES = 3 << 18, 1 << 19
 #: Pre-tokens to a call of the library.
 CALL = 256
 #: The pre-token pattern of the vocabulary file.
@@ -78,7 +78,7 @@ class WordEncoder:
     def _learn(self, chunks: set[str]) -> None:
         new = list(chunks)
         parts = [self._parts(x) for x in new]
-        if len(self.tokens) > CACHE_ENTRIES:
+        if len(self.tokens) > TOKEN_ENTRIES:
             self.tokens.clear()
         known = self.tokens
         missing = {t for t in chain.from_iterable(parts) if t not in known}
@@ -91,7 +91,7 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [not any(o in x for o in _ODD) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts]
         split = [x.split() if ok else [] for x, ok in zip(texts, plain)]
-        if len(self.chunks) > CACHE_ENTRIES:
+        if len(self.chunks) > CHUNK_ENTRIES:
             self.chunks.clear()
         found = looked_up(self.chunks, list(chain.from_iterable(split)), self._learn)
         out, at = [], 0
