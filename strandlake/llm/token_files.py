@@ -43,7 +43,7 @@ def open_folder(uri: str):
 class FrameWriter:
     """Writes a file's frames one by one and its tables at the end."""
 
-    def __init__(self, sink, level: int = 3):
+    def __init__(self, sink, level: int = 1):
         self.sink, self.code = sink, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.table, self.ids, self.size = bytearray(), [], 0
 
