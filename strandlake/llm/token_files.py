@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import fresh_path, shuffle_width, text_of, written
-from .token_packing import blocks
+from .token_packing import ENCODE_CHARS, ENCODE_TEXTS, blocks
 from .word_encoder import encoder
 
 # Magic numbers of zstandard's skippable frames and of its seekable format.
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         end, tokens = np.array([end_id], "<u4").tobytes(), 0
         with fs.open_output_stream(begun) as sink:
             writer = FrameWriter(sink)
-            for ids, texts in blocks(batches, "doc_id", "text"):
+            for ids, texts in blocks(batches, "doc_id", "text", most_texts=ENCODE_TEXTS, most_chars=ENCODE_CHARS):
                 for doc_id, coded in zip(ids, code.encode(texts)):
                     writer.add(doc_id, coded + end)
                     tokens += len(coded) // 4 + 1

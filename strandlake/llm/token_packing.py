@@ -22,19 +22,22 @@ from .word_encoder import encoder
 #: Texts encoded at once; bounds what a task holds.
 BATCH_TEXTS = 512
 BATCH_CHARS = 2_000_000
+#: The same where words are looked up: larger blocks hold fewer distinct ones in all.
+ENCODE_TEXTS = 2048
+ENCODE_CHARS = 8_000_000
 
 ENCODED = "part int, place long, doc_id long, n_tokens long, before long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def blocks(batches, *columns):
+def blocks(batches, *columns, most_texts: int = BATCH_TEXTS, most_chars: int = BATCH_CHARS):
     """Columns of Arrow batches as lists, in blocks of bounded text (the last column)."""
     for batch in batches:
         lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
         begin = chars = 0
         for i, text in enumerate(lists[-1]):
             chars += len(text)
-            if chars >= BATCH_CHARS or i + 1 - begin >= BATCH_TEXTS:
+            if chars >= most_chars or i + 1 - begin >= most_texts:
                 yield [x[begin : i + 1] for x in lists]
                 begin, chars = i + 1, 0
         if begin < len(lists[-1]):
@@ -48,7 +51,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataF
     def run(batches):
         code, part, before, place = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
-        for ids, texts in blocks(batches, "doc_id", "text"):
+        for ids, texts in blocks(batches, "doc_id", "text", most_texts=ENCODE_TEXTS, most_chars=ENCODE_CHARS):
             coded = [x + end for x in code.encode(texts)]
             sizes = np.array([len(x) // 4 for x in coded], np.int64)
             starts = before + np.cumsum(sizes) - sizes

@@ -1,9 +1,10 @@
 """Exact, cached encoding of whole texts by a word-level BPE of the tokenizers library.
 
 The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are the
-ids of its white-space-separated chunks one after the other. A chunk is looked up by its raw
-characters; on a miss its pre-tokens are looked up, and only pre-tokens that are new go to the
-library, many to a call. Texts in which chunks might not stand alone go to the library whole.
+ids of its white-space-separated chunks one after the other. Arrow splits a block of texts and numbers
+its distinct chunks; each of these is looked up once by its raw characters. On a miss its pre-tokens
+are looked up, and only pre-tokens that are new go to the library, many to a call. Texts in which
+chunks might not stand alone go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import unicodedata
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Entries after which a cache starts anew; they bound the memory of a worker.
@@ -20,7 +23,7 @@ CHUNK_ENTRIES, TOKEN_ENTRIES = 3 << 18, 1 << 19
 CALL = 256
 #: The pre-token pattern of the vocabulary file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: str.split() cuts at these, the pattern above does not.
+#: The split cuts at these, the pattern above does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 _encoders: dict[str, WordEncoder] = {}
@@ -90,15 +93,17 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [not any(o in x for o in _ODD) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts]
-        split = [x.split() if ok else [] for x, ok in zip(texts, plain)]
+        split = pc.utf8_split_whitespace(pa.array([x if ok else "" for x, ok in zip(texts, plain)], pa.large_string()))
         if len(self.chunks) > CHUNK_ENTRIES:
             self.chunks.clear()
-        found = looked_up(self.chunks, list(chain.from_iterable(split)), self._learn)
-        out, at = [], 0
-        for x, s, ok in zip(texts, split, plain):
-            out.append(b"".join(found[at : at + len(s)]) if ok else self.whole(x))
-            at += len(s)
-        return out
+        self.chunks[""] = b""  # what is before white space that a text begins with, or after its last
+        numbered = split.values.dictionary_encode()
+        found = looked_up(self.chunks, numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        joined = pa.array(found, pa.large_binary()).take(numbered.indices)
+        _, offsets, data = joined.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(texts) + 1)
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) if ok else self.whole(x) for x, ok, a, b in zip(texts, plain, cuts, cuts[1:])]
 
 
 def looked_up(cache: dict[str, bytes], keys: list[str], learn) -> list[bytes]:
