@@ -23,8 +23,8 @@ from .word_encoder import encoder
 BATCH_TEXTS = 512
 BATCH_CHARS = 2_000_000
 #: The same where words are looked up: larger blocks hold fewer distinct ones in all.
-ENCODE_TEXTS = 2048
-ENCODE_CHARS = 8_000_000
+ENCODE_TEXTS = 1024
+ENCODE_CHARS = 3_000_000
 
 ENCODED = "part int, place long, doc_id long, n_tokens long, before long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Entries after which a cache starts anew; they bound the memory of a worker.
-CHUNK_ENTRIES, TOKEN_ENTRIES = 3 << 18, 1 << 19
+CHUNK_ENTRIES, TOKEN_ENTRIES = 1 << 19, 3 << 17
 #: Pre-tokens to a call of the library.
 CALL = 256
 #: The pre-token pattern of the vocabulary file.
