@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import text_of, written
-from .word_encoder import encoder
+from .word_encoder import ENTRIES, encoder
 
 #: Texts encoded at once; bounds what a task holds.
 BATCH_TEXTS = 512
@@ -44,12 +44,12 @@ def blocks(batches, *columns, most_texts: int = BATCH_TEXTS, most_chars: int = B
             yield [x[begin:] for x in lists]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, entries: int = ENTRIES) -> DataFrame:
     """Ids of each whole text and the end id, with the partition and what is before it there. A null
     text is empty: it has the end id alone. Equal and repeated rows stay as rows of their own."""
 
     def run(batches):
-        code, part, before, place = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        code, part, before, place = encoder(vocabulary, entries), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for ids, texts in blocks(batches, "doc_id", "text", most_texts=ENCODE_TEXTS, most_chars=ENCODE_CHARS):
             coded = [x + end for x in code.encode(texts)]
@@ -101,6 +101,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
     )
 
 
-def op10_packing(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048; an id lies in exactly one piece."""
-    return pack(written(encode_documents(docs, vocabulary), "encoded"), keep_ids=False).drop("ids")
+def op10_packing(docs: DataFrame, vocabulary: str, entries: int = ENTRIES) -> DataFrame:
+    """Pieces of all documents in windows of 2048; an id lies in exactly one piece. entries: bounds
+    what a worker keeps of the words that it has encoded; it changes no result."""
+    return pack(written(encode_documents(docs, vocabulary, entries=entries), "encoded"), keep_ids=False).drop("ids")

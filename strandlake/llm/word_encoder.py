@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Entries after which a cache starts anew; they bound the memory of a worker.
-CHUNK_ENTRIES, TOKEN_ENTRIES = 1 << 19, 3 << 17
+#: Entries after which a cache of chunks starts anew (that of pre-tokens has three quarters of them); they bound the
+#: memory of a worker. Where workers also serve other operators, fewer leave these more room.
+ENTRIES, FEW_ENTRIES = 1 << 19, 1 << 17
 #: Pre-tokens to a call of the library.
 CALL = 256
 #: The pre-token pattern of the vocabulary file.
@@ -29,15 +30,16 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, entries: int = ENTRIES) -> WordEncoder:
     """The encoder of this Python worker, with what it has cached in earlier tasks."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].entries = entries
     return _encoders[path]
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = ENTRIES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -45,6 +47,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.entries = entries
         self.chunks: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
@@ -81,7 +84,7 @@ class WordEncoder:
     def _learn(self, chunks: set[str]) -> None:
         new = list(chunks)
         parts = [self._parts(x) for x in new]
-        if len(self.tokens) > TOKEN_ENTRIES:
+        if len(self.tokens) > self.entries * 3 // 4:
             self.tokens.clear()
         known = self.tokens
         missing = {t for t in chain.from_iterable(parts) if t not in known}
@@ -94,7 +97,7 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [not any(o in x for o in _ODD) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts]
         split = pc.utf8_split_whitespace(pa.array([x if ok else "" for x, ok in zip(texts, plain)], pa.large_string()))
-        if len(self.chunks) > CHUNK_ENTRIES:
+        if len(self.chunks) > self.entries:
             self.chunks.clear()
         self.chunks[""] = b""  # what is before white space that a text begins with, or after its last
         numbered = split.values.dictionary_encode()
