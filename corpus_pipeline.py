@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import catalog, compact_windows, language_id, minhash_dedup, quality_rules, token_packing
+from strandlake.llm import catalog, compact_windows, language_id, minhash_dedup, quality_rules, token_packing, word_encoder
 from strandlake.llm.common import table, written
 
 STAGES = [
@@ -12,7 +12,7 @@ STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality_rules.keep_good(docs)),
     ("near-duplicate documents", lambda spark, docs, sf_dir: minhash_dedup.keep_first(docs)),
     ("near-duplicate passages", lambda spark, docs, sf_dir: compact_windows.without_passages(docs)),
-    ("packing", lambda spark, docs, sf_dir: token_packing.op10_packing(docs, catalog.WORD_VOCABULARY)),
+    ("packing", lambda spark, docs, sf_dir: token_packing.op10_packing(docs, catalog.WORD_VOCABULARY, word_encoder.FEW_ENTRIES)),
 ]
 
 #: SQL can express neither the fitted model nor the tokens: the tests compare with a plain version.
