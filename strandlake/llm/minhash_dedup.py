@@ -6,9 +6,9 @@
    all bands once in some millions.
 3. In each bucket every document is paired with the bucket's smallest doc_id. Pairs whose signatures agree on
    three fifths of the minima at least are verified on their full sets; links give components.
-4. Members of a bucket that are then in different components are paired anew: each with its likeliest partner of
-   another component in its bucket that it was not paired with before. This repeats until a round finds no
-   new link, as the nearest-neighbour rounds of a spanning tree do.
+4. Members of a bucket that are then in different components are paired anew, the likeliest partners first: each
+   round leaves out tried pairs and, where it finds no link, the next one looks at four times as many partners. It
+   ends when no bucket holds an untried pair of different components whose signatures agree.
 5. Components by large-star and small-star; classes then hand their component to all members.
 
 Documents without words have an empty set and are linked with nothing. A null doc_id is a document like any
@@ -130,10 +130,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(banded: DataFrame, sketch: DataFrame, member: DataFrame, tried: DataFrame) -> DataFrame:
+def cross_pairs(banded: DataFrame, sketch: DataFrame, member: DataFrame, tried: DataFrame, most: int) -> DataFrame:
     """For buckets that hold more than one component: each member outside the bucket's largest component with its
-    likeliest untried partner of another component there. Buckets stream sorted by component, and signatures are
-    compared in blocks; a row gives one pair at most."""
+    `most` likeliest partners of other components there, less the tried pairs. A row without doc_ids tells that a
+    member has more partners than these. Buckets stream sorted by component, and signatures are compared in blocks."""
     placed = banded.join(member, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rows = placed.join(mixed, "key").join(sketch.select("doc_id", "minima"), "doc_id")
@@ -150,12 +150,14 @@ def cross_pairs(banded: DataFrame, sketch: DataFrame, member: DataFrame, tried:
                 for a in range(0, len(ids), 4096):
                     best[a : a + 4096] = (x[a : a + 4096] == x[i]).sum(1)
                 best[comps == comps[i]] = 0
-                for j in np.argsort(-best, kind="stable")[:3].tolist():
-                    if best[j] >= AGREE:
-                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                likely = np.flatnonzero(best >= AGREE)
+                nonlocal cut
+                cut |= len(likely) > most
+                for j in likely[np.argsort(-best[likely], kind="stable")][:most].tolist():
+                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             return found
 
-        key, ids, comps, minima, out = None, [], [], [], set()
+        key, ids, comps, minima, out, cut = None, [], [], [], set(), False
         for batch in batches:
             for k, d, c, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if k != key:
@@ -168,7 +170,8 @@ def cross_pairs(banded: DataFrame, sketch: DataFrame, member: DataFrame, tried:
         if len(set(comps)) > 1:
             out.update(pairs(ids, comps, minima))
         out = sorted(out)
-        yield pa.record_batch([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
+        more = [None] * cut
+        yield pa.record_batch([pa.array([a for a, _ in out] + more, pa.int64()), pa.array([b for _, b in out] + more, pa.int64())], ["a", "b"])
 
     dealt = rows.select("key", "doc_id", "component", "minima").repartition(shuffle_width(banded.sparkSession), "key").sortWithinPartitions("key", "component", "doc_id")
     return dealt.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
@@ -185,14 +188,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     banded = written(bands(heads), "bands")
     tried = written(agreeing(hub_pairs(banded), heads), "pairs")
     links = written(verified(tried, docs, percent), "links")
+    most, placed = 3, None
     while True:
-        more = written(cross_pairs(banded, heads, components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), tried), "pairs")
-        if more.isEmpty():
+        placed = placed or components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        round_ = written(cross_pairs(banded, heads, placed, tried, most), "pairs")
+        cut = not round_.filter("a IS NULL").isEmpty()
+        more = round_.filter("a IS NOT NULL")
+        new = None
+        if not more.isEmpty():
+            new = written(verified(more, docs, percent), "links")
+            tried = tried.unionByName(more)
+            if not new.isEmpty():
+                links, placed = links.unionByName(new), None
+                continue
+        if not cut:
             break
-        new = written(verified(more, docs, percent), "links")
-        if new.isEmpty():
-            break
-        links, tried = links.unionByName(new), tried.unionByName(more)
+        most *= 4
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(member.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
     found = components(edges)
     return sketch.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

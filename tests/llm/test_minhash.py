@@ -80,3 +80,25 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(1000, 1200)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {i: 100 for i in range(100, 161)} | {5: 5} | {k: 5 for k in range(1000, 1200)}
+
+
+def test_true_pairs_in_a_group_below_the_threshold_are_found(spark):
+    """A template's documents are 0.80 to 0.84 alike with each other, and a few pairs just above 0.85."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(600)]
+
+    def edited(words, places):
+        words = list(words)
+        for p in places:
+            words[p] = f"x{rng.randrange(10**9)}"
+        return words
+
+    rows = []
+    for i in range(200):
+        own = edited(base, rng.sample(range(5, 595), 6))
+        rows += [(10 + 2 * i, " ".join(own))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert 1 < len({c for _, c, _ in want.values()}) < len(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.op9_minhash_dedup(df).collect()}
+    assert got == want
