@@ -4,7 +4,9 @@ Base figures come from each text alone. Then normalised lines (lower case, runs
 space, trimmed) are hashed, and the distinct documents of a host that hold a line are counted, exact
 copies of a text as one. A line in more than `min_docs` documents and `share` of its host's documents is
 above the limit: it goes from every document but the first (smallest doc_id) of the host. A document
-that keeps less than `least` of its lines' characters is depleted, and rejected.
+that keeps less than `least` of its lines' characters is depleted, and rejected. op5_quality_rules counts what goes;
+keep_good also takes these lines out of the texts, and its first document is the first that passes the base rules, so
+that a line isn't left to a text that is rejected anyway.
 
 A null text has no words; a null host is a host of its own. A null doc_id comes after all others when the
 first document is looked for. Repeated rows get equal results.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -52,9 +54,16 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """A row for each distinct normalised line of each document, with the line's characters there."""
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " "))
     lines = F.filter(F.split(text_of(), "\n"), lambda x: x.rlike(NO_SPACE))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64(text_of(), F.char_length(text_of())).alias("text_hash"),
@@ -63,28 +72,35 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "host", "text_hash", "x.line").agg(F.sum("x.chars").alias("chars"))
 
 
-def line_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least: float = LEAST) -> DataFrame:
-    """(doc_id, text_hash, host, line_chars, removed_chars, depleted) of each document with a line."""
+def line_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least: float = LEAST, base: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, host, line_chars, removed_chars, gone, depleted) of each document with a line; gone has the
+    hashes of the lines that go. With `base` (base_figures of `docs`), a line's first document is the first that
+    passes the base rules, if one does."""
     lines = line_rows(docs)
     # Exact copies count as one document: first one row for each text, then texts are counted.
     texts = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     spread = texts.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    if base is not None:
+        passed = base.filter(~base_failed()).select(F.col("doc_id").alias("p_doc"), F.col("host").alias("p_host"), F.col("text_hash").alias("p_text")).distinct()
+        held = F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("host").eqNullSafe(F.col("p_host")) & (F.col("text_hash") == F.col("p_text"))
+        firsts = lines.join(passed, held, "left_semi").groupBy(F.col("host").alias("f_host"), F.col("line").alias("f_line")).agg(F.min("doc_id").alias("first_passed"))
+        same = (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host"))
+        spread = spread.filter(F.col("n_docs") > min_docs).join(firsts, same, "left").select("host", "line", "n_docs", F.coalesce("first_passed", "first_doc").alias("first_doc"))
     hosts = docs.select(F.col("source").cast("string").alias("host"), F.xxhash64(text_of(), F.char_length(text_of())).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     often = spread.filter(F.col("n_docs") > min_docs).join(hosts, spread["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
     above = often.filter(F.col("n_docs") > share * F.col("host_docs")).select(F.col("host").alias("a_host"), F.col("line").alias("a_line"), "first_doc")
     marked = lines.join(above, (F.col("line") == F.col("a_line")) & F.col("host").eqNullSafe(F.col("a_host")), "left")
     goes = F.col("a_line").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    totals = marked.groupBy("doc_id", "text_hash", "host").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(goes, F.col("chars")).otherwise(0)).alias("removed_chars"))
+    totals = marked.groupBy("doc_id", "text_hash", "host").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(goes, F.col("chars")).otherwise(0)).alias("removed_chars"), F.collect_set(F.when(goes, F.col("line"))).alias("gone"))
     return totals.withColumn("depleted", F.col("line_chars") - F.col("removed_chars") < least * F.col("line_chars"))
 
 
 def quality(docs: DataFrame, **limits: float) -> DataFrame:
     """All figures and the verdict of each row of `docs`."""
     base = base_figures(docs)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     verdicts = line_verdicts(docs, **limits).select(F.col("doc_id").alias("v_doc"), F.col("text_hash").alias("v_text"), F.col("host").alias("v_host"), "removed_chars", "depleted")
     same = F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("text_hash") == F.col("v_text")) & F.col("host").eqNullSafe(F.col("v_host"))
-    joined = base.withColumn("base_failed", failed).join(verdicts, same, "left")
+    joined = base.withColumn("base_failed", base_failed()).join(verdicts, same, "left")
     kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
     return joined.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"))
 
@@ -93,11 +109,26 @@ def op5_quality_rules(docs: DataFrame) -> DataFrame:
     return quality(docs).drop("host", "text_hash")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, unchanged, that pass."""
-    bad = quality(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("b_doc"), F.col("host").alias("b_host"), F.col("text_hash").alias("b_text")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("b_doc")) & F.col("source").cast("string").eqNullSafe(F.col("b_host")) & (F.xxhash64(text_of(), F.char_length(text_of())) == F.col("b_text"))
-    return docs.join(bad, same, "left_anti")
+def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
+    """The rows of `docs` that pass, less the lines above the limits (but in their first document); n_chars is counted
+    anew where lines went and there is such a column. Other rows are unchanged."""
+    # A table: used twice, and a filter on the figures would otherwise be pushed into their expressions.
+    base = written(base_figures(docs), "base-figures")
+    key = ["doc_id", "host", "text_hash"]
+    bad = base.filter(base_failed()).select(*key, F.lit(True).alias("bad"), F.array().cast("array<bigint>").alias("gone"))
+    lines = line_verdicts(docs, base=base, **limits).filter(F.col("depleted") | (F.size("gone") > 0)).select(*key, F.col("depleted").alias("bad"), "gone")
+    marks = bad.unionByName(lines).groupBy(*key).agg(F.max("bad").alias("_bad"), F.flatten(F.collect_set("gone")).alias("_gone"))
+    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_bad", "_gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(text_of(), F.char_length(text_of())) == F.col("_hash"))
+    kept = docs.join(marks, same, "left").filter(~F.coalesce("_bad", F.lit(False)))
+    stays = lambda x: ~x.rlike(NO_SPACE) | ~F.array_contains("_gone", F.xxhash64(normal(x)))
+    cut = F.size("_gone") > 0
+    text = F.when(cut, F.array_join(F.filter(F.split(text_of(), "\n"), stays), "\n")).otherwise(F.col("text"))
+    kept = kept.withColumn("_text", text)
+    columns = {"text": F.col("_text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(cut, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
 ORACLE = r"""

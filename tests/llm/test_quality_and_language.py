@@ -33,6 +33,19 @@ def test_quality_of_odd_rows(spark):
     assert quality_rules.op5_quality_rules(df.filter(F.lit(False))).collect() == []
 
 
+def test_lines_above_the_limits_go_from_the_texts(spark):
+    menu = "Home |  About | Contact us today"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(0, f"{menu}\nshort", "h", 7)] + [(i, f"{own(i)}\n\n{menu.upper() if i % 2 else menu}\nend {i}", "h", 7) for i in range(1, 30)] + [(50, f"{own(50)}\n{menu}", "other", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    kept = quality_rules.keep_good(df)
+    assert kept.schema == df.schema
+    got = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+    # The short first document is rejected: the line stays in the next, and in the other host.
+    want = {r[0]: (r[1], 7) for r in rows if r[0] in (1, 50)} | {i: (t := f"{own(i)}\n\nend {i}", len(t)) for i in range(2, 30)}
+    assert got == want
+
+
 def test_language_by_text_alone_is_right_on_held_out_rows(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter("doc_id % 2 = 0").select(F.col("lang").alias("label"), "text"))
