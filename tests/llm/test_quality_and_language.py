@@ -74,3 +74,30 @@ def test_language_of_odd_rows(spark, sf_dir):
 def test_addresses(spark):
     rows = spark.createDataFrame([("https://Www.Site.FR/x?y",), ("site.co.uk:80",), ("src0",), ("",)], "a string").select(language_id.host_of(F.col("a")), language_id.suffix_of(F.col("a"))).collect()
     assert [tuple(r) for r in rows] == [("www.site.fr", "fr"), ("site.co.uk", "uk"), ("src0", ""), ("", "")]
+
+
+def plain_figures(text):
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = __import__("collections").Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(covered)
+
+
+def test_long_texts_keep_hash_and_place_apart(spark):
+    """Texts about the number of places that a hash's low bits hold, with few and with many repeats."""
+    n = quality_rules.PLACES
+    distinct = lambda k: [f"w{i}" for i in range(k)]
+    texts = [" ".join(distinct(n + d) + ["w5", "w6", "w7"] * r) for d in (-3, -2, -1, 0, 1, 2, 3, 5000) for r in (0, 1, 2)] + ["a b c " * 40000, "", None, "a b", "a b c", "a b c a b c"]
+    df = spark.createDataFrame([(i, t, "h", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, words string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) for r in quality_rules.op5_quality_rules(df).collect()}
+    assert got == {i: plain_figures(t) for i, t in enumerate(texts)}
+
+
+def test_repeated_rows_count_their_own_lines_once(spark):
+    menu = "Home | About | Contact us today"
+    rows = [(i, f"{menu}\n{' '.join(f'w{i}x{k}' for k in range(60))}", "h") for i in range(30)]
+    df = spark.createDataFrame(rows + rows[3:6] + rows[3:5], "doc_id long, text string, source string")
+    got = quality_rules.op5_quality_rules(df)
+    assert same(got.collect(), by_sql(df.toPandas(), got.columns))
+    assert {r.removed_chars for r in got.collect() if r.doc_id} == {len(menu)}
