@@ -80,8 +80,8 @@ def bucket_of(value: Column, points: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with each whole text (null: empty) as a zstandard frame: what texts weigh in a shuffle."""
+def zipped(rows: DataFrame) -> DataFrame:
+    """The rows with their last column, a text, as a zstandard frame: what texts weigh in a shuffle."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,9 +89,15 @@ def compressed(docs: DataFrame) -> DataFrame:
 
         code = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([code.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array([code.compress(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())], batch.schema.names)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*kinds, f"`{rows.columns[-1]}` binary"]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, text binary")
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with each whole text (null: empty) as a zstandard frame."""
+    return zipped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
 
 
 def expanded(frame: bytes) -> str:

@@ -62,7 +62,7 @@ def test_odd_rows_and_near_copies(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.op9_minhash_dedup(df).collect()}
     assert got == brute_force(rows)
     assert minhash_dedup.op9_minhash_dedup(df.filter(F.lit(False))).collect() == []
-    kept = minhash_dedup.keep_first(df)
+    kept = minhash_dedup.keep_first(df, percent=85)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, v in got.items() if v[2])
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "p q"), (3, "p q"), (2, "P q")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in minhash_dedup.op9_minhash_dedup(twice).collect()), key=repr) == [(2, 2), (3, 2), (3, 2), (None, None), (None, None)]
@@ -102,3 +102,66 @@ def test_true_pairs_in_a_group_below_the_threshold_are_found(spark):
     assert 1 < len({c for _, c, _ in want.values()}) < len(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.op9_minhash_dedup(df).collect()}
     assert got == want
+
+
+def family(rng, name, n, size=400, changes=4):
+    base = [f"{name}{i}" for i in range(size)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for p in rng.sample(range(5, size - 5), changes):
+            words[p] = f"x{rng.randrange(10**9)}"
+        out.append(words)
+    return base, out
+
+
+def check(spark, rows, percent=85):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in minhash_dedup.near_duplicates(df, percent).collect()}
+    assert got == want
+    return {c for _, c, _ in want.values()}
+
+
+def test_families_with_links_that_no_hub_shows(spark):
+    """Variants of a text that are hardly alike enough with each other, and two closer ones between them: one family, and
+    three beside each other."""
+    rng, rows = random.Random(1), []
+    for f in range(3):
+        base, texts = family(rng, f"f{f}w", 250, changes=6)
+        for k in (40, 41):
+            near = list(base)
+            near[rng.randrange(5, 395)] = f"y{f}{k}"
+            texts.append(near)
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+        if f == 0:
+            assert len(check(spark, rows)) > 1 or len(rows) == 252
+    rng.shuffle(rows)
+    check(spark, [(i, t) for i, (_, t) in enumerate(rows)])
+    check(spark, [(i, t) for i, (_, t) in enumerate(rows)], 80)
+
+
+def test_blocks_of_a_large_family(spark, monkeypatch):
+    """Groups that take several blocks on either side."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 64)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 9000)
+    rng = random.Random(2)
+    rows = [(i, " ".join(t)) for i, t in enumerate(family(rng, "a", 300, changes=7)[1] + family(rng, "b", 200, changes=4)[1])]
+    assert 1 < len(check(spark, rows)) < len(rows)
+
+
+def test_rows_of_one_name_share_a_component(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, text("a")), (2, text("a")), (3, text("b")), (9, text("b")), (9, text("c")), (12, text("c") + " end"), (None, text("c")), (None, text("d")), (None, text("d") + " e"), (20, text("z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df).collect() if r.doc_id is not None)
+    assert got == [(2, 2), (3, 2), (3, 2), (9, 2), (9, 2), (12, 2), (20, 20)]
+    assert [r.component_id for r in minhash_dedup.near_duplicates(df.filter("doc_id IS NULL")).collect()] == [None] * 3
+
+
+def test_products_of_incidence_matrices_give_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 200, 30)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[9:]] for x in sets]
+    for width in (7, 64, 2048):
+        assert minhash_dedup.shared_counts(sets, sets[9:], width).tolist() == want

@@ -94,7 +94,7 @@ def test_pipeline(spark):
     n = docs.count()
     assert len(kept[0]) > 0.97 * n
     assert len(kept[1]) > 0.7 * len(kept[0])
-    assert {i for i, _ in kept[2]} == {i for i, v in near_copies(kept[1]).items() if v[2]}
+    assert {i for i, _ in kept[2]} == {i for i, v in near_copies(kept[1], 80).items() if v[2]}
     result = corpus_pipeline.run(spark, d).collect()
     check_packing(result, kept[3])
     assert {r.doc_id for r in result} == {i for i, _ in kept[3]}
