@@ -1,13 +1,19 @@
 r"""Chat formatting by schema fingerprints.
 
-Each record is a JSON text. Its nested field paths (types left out) are hashed; the hash selects a
-declarative mapping that turns the record into canonical turns (role, text). Turns then get a
-template with control strings, which are escaped inside texts:
+A record's nested field paths (types left out) are hashed; the hash selects a declarative mapping that turns the
+record into canonical turns (role, text). Records come as JSON texts (each with a layout of its own: canonical_turns) or
+as the columns of a table (one layout for all rows: turns_of_table, which reads columns as they are, with no JSON
+between). Turns then get a template with control strings, which are escaped inside texts:
 
     <|im_start|>role\ntext<|im_end|>\n
 
 Escaping adds a backslash to each `<`, backslashes, `|`; undoing it takes one away. So no text can
 hold a control string, and each text is found again as it was.
+
+Null texts and roles are empty. Turns go by (turn, part), equal ones by their segment. Texts may have any length that
+Spark's strings and, for JSON records, its variants (128 MB) can hold. A record without a mapping, or that can't be
+parsed, keeps a row with a null role: `formatted` fails on it unless told to leave such rows out, and `unmapped` counts
+them. An empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import shuffle_width
 
@@ -86,32 +93,54 @@ def _role(value: Column, roles: dict[str, str]) -> Column:
     return found
 
 
-def _turns(record: Column, m: Mapping) -> Column:
+def _turns(m: Mapping, get) -> Column:
+    """The canonical turns of a record whose fields `get` (a path, a type) gives."""
     empty = F.lit("")
     turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, empty).alias("text"))
     if m.turns:
-        items = F.variant_get(record, f"$.{m.turns}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        items = get(m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
         return F.transform(items, lambda x: turn(_role(x[m.role], m.roles), x[m.text]))
     if m.role:
-        return F.array(turn(_role(F.variant_get(record, f"$.{m.role}", "string"), m.roles), F.variant_get(record, f"$.{m.text}", "string")))
+        return F.array(turn(_role(get(m.role, "string"), m.roles), get(m.text, "string")))
     made = []
     for role, paths in m.parts:
-        texts = [F.nullif(F.variant_get(record, f"$.{p}", "string"), empty) for p in paths]
+        texts = [F.nullif(get(p, "string"), empty) for p in paths]
         made.append(turn(F.lit(role), F.concat_ws("\n\n", *texts)))
     turns = F.array(*made)
     return F.filter(turns, lambda x: (x["role"] != "system") | (x["text"] != ""))
 
 
+def paths_of(kind: DataType, at: str = "") -> tuple[str, ...]:
+    """The nested field paths of a column type."""
+    if isinstance(kind, ArrayType):
+        return paths_of(kind.elementType, f"{at}[]")
+    if isinstance(kind, StructType):
+        return tuple(p for f in kind.fields for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name))
+    return (at,)
+
+
+def turns_of_table(table: DataFrame, fields: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """canonical_turns of a table whose columns `fields` hold the records, beside conv_id and turn."""
+    found = fingerprint(paths_of(StructType([table.schema[f] for f in fields])))
+    m = next((m for m in mappings if fingerprint(m.paths) == found), None)
+    if m is None:
+        raise ValueError(f"no mapping for the layout of the columns {', '.join(fields)}")
+    turns = _turns(m, lambda path, kind: F.col(path).cast(kind))
+    return table.select("conv_id", "turn", F.lit(m.name).alias("layout"), F.posexplode_outer(turns).alias("part", "t")).select("conv_id", "turn", "part", "t.role", "t.text", "layout")
+
+
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Rows (conv_id, turn, record) to rows (conv_id, turn, part, role, text, layout): `part` is the turn's
     place in its record. A null text is empty, a null role too. A record that is null, no JSON, or of
     a layout without a mapping keeps one row whose layout is null and whose role and text are null,
     so that nothing is lost unseen."""
-    parsed = records.select("conv_id", "turn", F.try_parse_json("record").alias("v")).withColumn("fingerprint", F.sha2(shape_of(F.col("v")), 256))
+    # As try_parse_json, but for the bound on a string's length.
+    variant = F.from_json("record", "variant", {"maxStringLen": str((1 << 31) - 1)})
+    parsed = records.select("conv_id", "turn", variant.alias("v")).withColumn("fingerprint", F.sha2(shape_of(F.col("v")), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in mappings:
         is_it = F.col("fingerprint") == fingerprint(m.paths)
-        layout, turns = F.when(is_it, m.name).otherwise(layout), F.when(is_it, _turns(F.col("v"), m)).otherwise(turns)
+        layout, turns = F.when(is_it, m.name).otherwise(layout), F.when(is_it, _turns(m, lambda path, kind: F.variant_get(F.col("v"), f"$.{path}", kind))).otherwise(turns)
     return parsed.select("conv_id", "turn", layout.alias("layout"), F.posexplode_outer(turns).alias("part", "t")).select("conv_id", "turn", "part", "t.role", "t.text", "layout")
 
 
@@ -123,14 +152,23 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def unmapped(turns: DataFrame) -> DataFrame:
+    """How many records of each conversation have no mapping or couldn't be parsed."""
+    return turns.filter(F.col("role").isNull()).groupBy("conv_id").agg(F.count("*").alias("n_unmapped"))
+
+
+def formatted(turns: DataFrame, strict: bool = True) -> DataFrame:
     """A segment for each turn; a conversation's text is its segments by (turn, part). The loss mask is
-    the span [loss_start, loss_end) of code points: the text of assistant turns, else empty."""
+    the span [loss_start, loss_end) of code points: the text of assistant turns, else empty. A record without a mapping
+    is an error, or, if not strict, left out (see `unmapped`)."""
     role = F.replace(F.replace(escaped(F.col("role")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     text, head = escaped(F.col("text")), F.concat(F.lit(START), role, F.lit("\n"))
     begin = F.char_length(head)
     learnt = F.col("role") == "assistant"
     known = turns.filter(F.col("role").isNotNull())
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("no mapping for a record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+        known = turns.withColumn("role", F.when(F.col("role").isNull(), fail.cast("string")).otherwise(F.col("role")))
     return known.select("conv_id", "turn", "part", F.concat(head, text, F.lit(END + "\n")).alias("segment"), begin.alias("loss_start"), F.when(learnt, begin + F.char_length(text)).otherwise(begin).alias("loss_end"))
 
 
@@ -188,13 +226,10 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def op1_chat_formatting(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """All conversations (rows of one turn each) and the probe, conversation -1, a record of another layout.
     Rows of one conversation and turn go by their text; a null conv_id is a conversation of its own."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.to_json(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")), {"ignoreNullFields": "false"}).alias("record"),
-    )
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     say = lambda role: F.struct(F.lit(role).alias("role"), F.lit(PROBE).alias("content"))
     probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_json(F.struct(F.array(say("user"), say("assistant")).alias("messages"))).alias("record"))
-    return digests(formatted(canonical_turns(rows.unionByName(probe))))
+    return digests(formatted(turns_of_table(rows, ["role", "text"]).unionByName(canonical_turns(probe))))
 
 
 ORACLE = r"""

@@ -56,6 +56,37 @@ def test_escaping_is_reversible(spark):
     assert all(s.segment.count("<|") == 2 for s in segments)
 
 
+def test_nothing_is_lost(spark):
+    """Turns longer than a JSON reader's usual bound come back; records without a mapping are counted or an error."""
+    rows = spark.createDataFrame([(1, 0, "user", 3), (2, 0, "assistant", 60_000_000)], "conv_id long, turn long, role string, n int")
+    rows = rows.withColumn("text", F.expr("repeat('y', n)"))
+    got = {r.conv_id: r for r in chat.op1_chat_formatting(spark, rows).collect()}
+    assert got[2].loss_chars == 60_000_000 and got[2].loss_sha256 == hashlib.sha256(b"y" * 60_000_000).hexdigest() and got[1].n_turns == 1 and len(got) == 3
+    assert [r.conv_id for r in chat.op1_chat_formatting(spark, rows.filter(F.lit(False))).collect()] == [-1]
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", F.expr("repeat(text, 1)").alias("text"))).alias("record")).filter("conv_id = 1").unionByName(
+        spark.createDataFrame([(4, 0, "no json"), (4, 1, None), (5, 0, '{"x": 1}')], "conv_id long, turn long, record string"))
+    turns = chat.canonical_turns(records)
+    assert {r.conv_id: r.n_unmapped for r in chat.unmapped(turns).collect()} == {4: 2, 5: 1}
+    assert [r.conv_id for r in chat.digests(chat.formatted(turns, strict=False)).collect()] == [1]
+    try:
+        chat.digests(chat.formatted(turns)).collect()
+        raise AssertionError("it should have failed")
+    except Exception as e:
+        assert "no mapping for a record of conversation" in str(e)
+    long = rows.filter("conv_id = 2").select("conv_id", "turn", F.to_json(F.struct("role", F.substring("text", 1, 21_000_000).alias("text"))).alias("record"))
+    assert chat.digests(chat.formatted(chat.canonical_turns(long))).first().loss_chars == 21_000_000
+
+
+def test_columns_select_a_mapping_too(spark):
+    table = spark.createDataFrame([(1, 0, [("human", "q"), ("gpt", None)], "x")], "conv_id long, turn long, conversations array<struct<from string, value string>>, layout string")
+    assert [(r.role, r.text, r.layout) for r in chat.turns_of_table(table, ["conversations"]).orderBy("part").collect()] == [("user", "q", "shared"), ("assistant", "", "shared")]
+    try:
+        chat.turns_of_table(table, ["layout"])
+        raise AssertionError("it should have failed")
+    except ValueError:
+        pass
+
+
 def expected(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     for i, (d, t) in enumerate(rows):
