@@ -57,6 +57,29 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Stands for a null doc_id where ids are compared; it comes before all others.
+NO_ID = -(1 << 63)
+
+
+def text_hash(column: str = "text") -> Column:
+    """Tells the texts of rows with one doc_id apart (a null text: empty)."""
+    return F.xxhash64(text_of(column), F.char_length(text_of(column)))
+
+
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's own key: doc_id (NO_ID for null) and a hash of its text, 0 throughout where doc_ids tell all rows apart
+    (one look at that column), as that weighs nothing in shuffles. Rows that are equal in both are equal."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    apart = ids.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty()
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.lit(0).cast("long") if apart else text_hash()
+
+
+def keyed(docs: DataFrame, key: tuple[Column, Column] | None = None) -> DataFrame:
+    """(doc_id, text_hash, text): a row's own key and its text (null: empty)."""
+    doc_id, told = key or row_key(docs)
+    return docs.select(doc_id.alias("doc_id"), told.alias("text_hash"), text_of().alias("text"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,11 +118,6 @@ def zipped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*kinds, f"`{rows.columns[-1]}` binary"]))
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with each whole text (null: empty) as a zstandard frame."""
-    return zipped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-
-
 def expanded(frame: bytes) -> str:
     import zstandard
 

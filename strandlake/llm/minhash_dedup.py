@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import expanded, shuffle_width, text_of, written, zipped
+from .common import expanded, shuffle_width, text_hash, text_of, written, zipped
 from .components import components
 from .shingles import U, Words, mix
 from .token_packing import blocks
@@ -67,9 +67,9 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text): a row's own key, and its text (null: empty)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(), F.char_length(text_of())).alias("text_hash"), text_of().alias("text"))
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) of each row (a null text: empty)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_of().alias("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([m.tobytes() for m in minima], pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "minima"])
 
-    return keyed(docs).mapInArrow(run, SKETCH)
+    return named(docs).mapInArrow(run, SKETCH)
 
 
 def bands(heads: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def agreeing(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame, heads: DataFrame) -> DataFrame:
     """(doc_id, text as a zstandard frame) of the heads with a wanted doc_id. Only these go on from the join."""
     ours = heads.join(wanted, "doc_id", "left_semi").select("doc_id", "text_hash")
-    found = zipped(keyed(docs).filter(F.col("doc_id").isNotNull())).join(ours, ["doc_id", "text_hash"], "left_semi")
+    found = zipped(named(docs).filter(F.col("doc_id").isNotNull())).join(ours, ["doc_id", "text_hash"], "left_semi")
     return found.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
 
 
@@ -349,8 +349,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = written(verified(written(agreeing(pairs, heads), "pairs"), docs, heads, percent), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Rows of one doc_id with different texts: their heads are linked.
     several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("doc_id")
-    named = full.join(several, "doc_id", "left_semi").select("digest", F.col("doc_id").alias("u")).join(heads.select("digest", F.col("doc_id").alias("v")), "digest").select("u", "v").filter("u <> v")
-    placed = components(links.unionByName(named))
+    aliases = full.join(several, "doc_id", "left_semi").select("digest", F.col("doc_id").alias("u")).join(heads.select("digest", F.col("doc_id").alias("v")), "digest").select("u", "v").filter("u <> v")
+    placed = components(links.unionByName(aliases))
     more = missing_links(shared, placed, heads, docs, percent)
     if more is not None:
         placed = components(placed.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))

@@ -10,27 +10,28 @@ equal strings have equal anchors in the same place. Anchors are found in each te
    segments of a partition are the documents of a column-wise construction: columns come from the last to the first,
    each round inserts one symbol for each segment, which makes the next suffix order from the last one (a stable
    sort by the column of the Burrows-Wheeler transform) with its common prefixes (range minima of the last).
-   Columns lie in a temporary file and are read one after the other; two arrays are held besides. Runs of
-   suffixes with a common prefix of 100 are equal strings; all but the earliest of a run are repeats.
+   Segments stream in the order of their anchors, and whole anchors make up a block of about 200,000. Runs of
+   suffixes with a common prefix of 100 are equal strings, byte by byte; all but the earliest of a run are repeats.
 3. The stretches of a document are merged and cut out.
 
 Equal strings stand at equal columns, for the anchor does. So the construction needs 168 rounds of sorting one
 column; over whole documents it would need as many rounds as the longest has bytes.
 
-doc_id is taken as a key: rows with equal id and text get equal results and are no repeats of each other; texts that
-differ under one id share their stretches. A null doc_id comes before all others; a null text is empty.
+A row's key is (doc_id, hash of its text): rows equal in both get equal results and are no repeats of each other, texts
+that differ under one doc_id are documents of their own, in the order of that hash. A null doc_id comes before all
+others; a null or empty text has no bytes. A text of any length is worked on whole. An empty table gives no rows; other
+columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import compressed, expanded, shuffle_width, text_of, written
+from .common import NO_ID, expanded, keyed, shuffle_width, written, zipped
 from .shingles import SYMBOLS, U, mix, powers, sliding
 from .token_packing import blocks
 
@@ -38,14 +39,18 @@ LENGTH, ANCHOR = 100, 32
 BEFORE = LENGTH - ANCHOR
 COLUMNS = BEFORE + LENGTH
 PAD = 256
-NO_ID = -(1 << 63)
 #: Anchors that a task combines at once.
 COMBINE = 1_000_000
+#: Segments that a block of whole anchors has about.
+SEGMENTS = 200_000
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of the anchors of all texts: text, place, anchor hash, hash of the surroundings, begin and end of these."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
     n = len(raw)
     if n < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
@@ -65,57 +70,80 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero((sliding(padded, BEFORE + 1, np.maximum) == grams) & (grams > 0))
     text = np.searchsorted(offsets, at, "right") - 1
     begin, end = np.maximum(at - BEFORE, offsets[text]), np.minimum(at + LENGTH, offsets[text + 1])
-    around = mix(mix((sums[end] - sums[begin]) * down[begin]) + (at - begin).astype(U) * U(0x9E3779B97F4A7C15) + (end - at).astype(U))
+    digest = hashlib.blake2b
+    around = np.frombuffer(b"".join([digest(joined[b:e], digest_size=8).digest() for b, e in zip(begin.tolist(), end.tolist())]), np.int64)
+    # Where the anchor lies in them counts too.
+    around = mix(around.view(U) + (at - begin).astype(U)).view(np.int64)
     origin = offsets[text]
-    return text, at - origin, grams[at].view(np.int64), around.view(np.int64), begin - origin, end - origin
-
-
-def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping or touching stretches of a document as one."""
-    if not len(doc):
-        return doc, begin, end
-    order = np.lexsort((end, begin, doc))
-    doc, begin, end = doc[order], begin[order], end[order]
-    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-    group = np.cumsum(new_doc)
-    # Running maximum of the ends within a document: documents are lifted apart.
+    return text, at - origin, grams[at].view(np.int64), around, begin - origin, end - origin
+
+
+def merged(keys: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Overlapping or touching stretches with equal keys as one."""
+    if not len(begin):
+        return keys, begin, end
+    order = np.lexsort((end, begin, *keys[::-1]))
+    keys, begin, end = [k[order] for k in keys], begin[order], end[order]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    group = np.cumsum(new)
+    # Running maximum of the ends under one key: keys are lifted apart.
     lift = (group - 1) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift) - lift
-    first = new_doc | np.concatenate([[True], begin[1:] > reach[:-1]])
+    first = new | np.concatenate([[True], begin[1:] > reach[:-1]])
     starts = np.flatnonzero(first)
-    return doc[starts], begin[starts], np.maximum.reduceat(end, starts)
+    return [k[starts] for k in keys], begin[starts], np.maximum.reduceat(end, starts)
 
 
-FOUND = "kind int, anchor long, around long, doc_id long, place long, begin long, end long"
+FOUND = "kind int, anchor long, around long, doc_id long, text_hash long, place long, begin long, end long"
 _NAMES = [x.split()[0] for x in FOUND.split(", ")]
 ANCHORED, STRETCH, SEGMENT = 0, 1, 2
 
 
-def _rows(kind: int, anchor, around, doc, place, begin, end):
+def _rows(kind: int, anchor, around, doc, text, place, begin, end):
     for i in range(0, len(doc), 50_000):
-        cut = [np.asarray(x[i : i + 50_000], np.int64) for x in (anchor, around, doc, place, begin, end)]
+        cut = [np.asarray(x[i : i + 50_000], np.int64) for x in (anchor, around, doc, text, place, begin, end)]
         yield pa.record_batch([pa.array(np.full(len(cut[0]), kind, np.int32)), *map(pa.array, cut)], _NAMES)
 
 
-def _stretches(doc, begin, end):
-    doc, begin, end = merged(doc, begin, end)
+def _stretches(doc, text, begin, end):
+    (doc, text), begin, end = merged([doc, text], begin, end)
     none = np.zeros(len(doc), np.int64)
-    return _rows(STRETCH, none, none, doc, none, begin, end)
+    return _rows(STRETCH, none, none, doc, text, none, begin, end)
 
 
-def _split(anchor, around, doc, place, begin, end):
+def _split(anchor, around, doc, text, place, begin, end):
     """Sorted by surroundings, then document and place: which rows are the first of theirs, and which repeat an
     earlier row whose strings fill a stretch."""
-    order = np.lexsort((place, doc, around, anchor))
-    rows = [x[order] for x in (anchor, around, doc, place, begin, end)]
+    order = np.lexsort((place, text, doc, around, anchor))
+    rows = [x[order] for x in (anchor, around, doc, text, place, begin, end)]
     new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]) if len(order) else np.zeros(0, bool)
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, int)
-    later = ~new & ((rows[2] != rows[2][head]) | (rows[3] != rows[3][head]))
+    later = ~new & np.any([rows[i] != rows[i][head] for i in (2, 3, 4)], axis=0)
     return rows, new, later
 
 
-def find_anchors(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts; those that a task has seen before with equal surroundings are stretches at once."""
+def whole_keys(batches, columns: range, least: int):
+    """Rows of sorted batches as arrays, in blocks of `least` rows or more that end where the first column changes."""
+    held, count = [], 0
+    for batch in batches:
+        own = [batch.column(i).to_numpy() for i in columns]
+        if not len(own[0]):
+            continue
+        if count >= least and own[0][0] != held[-1][0][-1]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, count = [], 0
+        cut = int(np.searchsorted(own[0], own[0][-1]))
+        if cut and count + cut >= least:
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in own])]
+            held, count, own = [], 0, [x[cut:] for x in own]
+        held.append(own)
+        count += len(own[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def find_anchors(rows: DataFrame) -> DataFrame:
+    """Anchors of all texts (keyed rows); those that a task has seen before with equal surroundings are stretches at once."""
 
     def run(batches):
         held: list[tuple] = []
@@ -124,12 +152,12 @@ def find_anchors(docs: DataFrame) -> DataFrame:
             rows, new, later = _split(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
             yield from _rows(ANCHORED, *(x[new] for x in rows))
-            yield from _stretches(*(rows[i][later] for i in (2, 4, 5)))
+            yield from _stretches(*(rows[i][later] for i in (2, 3, 5, 6)))
 
         count = 0
-        for ids, texts in blocks(batches, "doc_id", "text"):
+        for ids, hashes, texts in blocks(batches, "doc_id", "text_hash", "text"):
             text, place, anchor, around, begin, end = anchors([t.encode() for t in texts])
-            held.append((anchor, around, np.array(ids, np.int64)[text] if len(text) else text, place, begin, end))
+            held.append((anchor, around, np.array(ids, np.int64)[text], np.array(hashes, np.int64)[text], place, begin, end))
             count += len(text)
             if count >= COMBINE:
                 yield from flush()
@@ -137,63 +165,56 @@ def find_anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text")).mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, FOUND)
 
 
 def compare_surroundings(found: DataFrame) -> DataFrame:
     """After the shuffle by anchor: stretches for equal surroundings, segments for anchors with several."""
 
     def run(batches):
-        pending: list[np.ndarray] = []
+        rest = []
 
-        def done(rows):
+        def anchored():
+            for batch in batches:
+                other = batch.column(0).to_numpy() != ANCHORED
+                if other.any():
+                    rest.append(batch.filter(pa.array(other)))
+                yield batch.filter(pa.array(~other)) if other.any() else batch
+
+        for rows in whole_keys(anchored(), range(1, 8), 100_000):
+            yield from rest
+            rest.clear()
             first, new, later = _split(*rows)
-            yield from _stretches(*(first[i][later] for i in (2, 4, 5)))
+            yield from _stretches(*(first[i][later] for i in (2, 3, 5, 6)))
             heads = [x[new] for x in first]
-            edge = np.concatenate([[True], heads[0][1:] != heads[0][:-1]]) if len(heads[0]) else np.zeros(0, bool)
+            edge = np.concatenate([[True], heads[0][1:] != heads[0][:-1]])
             sizes = np.diff(np.append(np.flatnonzero(edge), len(edge)))
             several = np.repeat(sizes > 1, sizes)
             yield from _rows(SEGMENT, *(x[several] for x in heads))
+        yield from rest
 
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            rest = kind != ANCHORED
-            if rest.any():
-                yield batch.filter(pa.array(rest))
-            own = [batch.column(i).to_numpy()[~rest] for i in range(1, 7)]
-            if not len(own[0]):
-                continue
-            rows = [np.concatenate(x) for x in zip(pending, own)] if pending else own
-            whole = np.searchsorted(rows[0], rows[0][-1])
-            if whole > 100_000:
-                yield from done([x[:whole] for x in rows])
-                rows = [x[whole:] for x in rows]
-            pending = rows
-        if pending:
-            yield from done(pending)
-
-    spread = F.when(F.col("kind") == ANCHORED, F.col("anchor")).otherwise(F.col("doc_id"))
+    spread = F.when(F.col("kind") == ANCHORED, F.col("anchor")).otherwise(F.col("doc_id").bitwiseXOR(F.col("text_hash")))
     dealt = found.withColumn("spread", spread).repartition(shuffle_width(found.sparkSession), "spread").drop("spread")
     return dealt.sortWithinPartitions("kind", "anchor").mapInArrow(run, FOUND)
 
 
 def cut_segments(places: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes of each segment. A document's places (no more than it has bytes) meet its text once."""
-    held = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "begin", "end")).alias("places"))
+    held = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "place", "begin", "end")).alias("places"))
+    kinds = "anchor long, doc_id long, text_hash long, place long, begin long, end long, bytes binary"
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, frame, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out = [[] for _ in range(7)]
+            for doc, text, frame, held in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = expanded(frame).encode()
                 for p in held:
-                    if p["end"] > len(raw):
-                        continue
-                    for x, v in zip(out, (p["anchor"], doc, p["place"], p["begin"], p["end"], raw[p["begin"] : p["end"]])):
+                    for x, v in zip(out, (p["anchor"], doc, text, p["place"], p["begin"], p["end"], raw[p["begin"] : p["end"]])):
                         x.append(v)
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], ["anchor", "doc_id", "place", "begin", "end", "bytes"])
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], [k.split()[0] for k in kinds.split(", ")])
 
-    return held.join(texts, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, doc_id long, place long, begin long, end long, bytes binary")
+    # Repeated rows give a segment twice; it is no repeat of itself.
+    return held.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places").mapInArrow(run, kinds)
 
 
 def insert_columns(columns, n: int, length: int, last_start: int):
@@ -221,53 +242,50 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     """Stretches of the segments' strings that come earlier."""
 
     def run(batches):
-        rows: list[tuple] = []
-        with tempfile.TemporaryFile() as columns:
-            chunks = []
+        names = ["anchor", "doc_id", "text_hash", "place", "begin", "end"]
+        held: list = []
+
+        def segments_of():
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                doc, place, begin, end = (batch.column(i).to_numpy() for i in range(1, 5))
-                block = np.full((batch.num_rows, COLUMNS), PAD, np.uint16)
-                for i, (raw, left) in enumerate(zip(batch.column(5).to_pylist(), (BEFORE - (place - begin)).tolist())):
-                    block[i, left : left + len(raw)] = np.frombuffer(raw, np.uint8)
-                chunks.append((columns.tell(), batch.num_rows))
-                columns.write(np.ascontiguousarray(block.T).tobytes())
-                rows.append((doc, place, begin, end))
-            if not rows:
-                return
-            doc, place, begin, end = (np.concatenate(x) for x in zip(*rows))
+                held.append(batch.column(6))
+                yield batch
+
+        at = 0
+        for rows in whole_keys(segments_of(), range(len(names)), SEGMENTS):
+            doc, text, place, begin, end = rows[1:]
             n = len(doc)
-            by_place = np.lexsort((place, doc))
+            # Columns one after the other, a segment's bytes standing so that its anchor begins at column BEFORE.
+            columns = np.full((COLUMNS, n), PAD, np.uint16)
+            raw = pa.chunked_array(held).slice(at, n).to_pylist()
+            whole = np.frombuffer(b"".join(raw), np.uint8)
+            sizes, left = end - begin, BEFORE - (place - begin)
+            inside = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns[inside + np.repeat(left, sizes), np.repeat(np.arange(n), sizes)] = whole
+            at += n
+            while held and len(held[0]) <= at:
+                at -= len(held.pop(0))
+            by_place = np.lexsort((place, text, doc))
             rank = np.empty(n, np.int64)
             rank[by_place] = np.arange(n)
             low, high = np.full(n, COLUMNS), np.full(n, -1)
-
-            def column(c):
-                out = []
-                for at, count in chunks:
-                    columns.seek(at + 2 * c * count)
-                    out.append(np.frombuffer(columns.read(2 * count), np.uint16))
-                return np.concatenate(out)
-
-            first_start, last_start = BEFORE - (place - begin), BEFORE + (end - place) - LENGTH
-            for start, order, common in insert_columns(column, n, COLUMNS, BEFORE):
+            first_start, last_start = left, BEFORE + (end - place) - LENGTH
+            for start, order, common in insert_columns(lambda c: columns[c], n, COLUMNS, BEFORE):
                 edge = common < LENGTH
                 edge[0] = True
                 runs = np.flatnonzero(edge)
                 ranks = rank[order]
                 earliest = np.repeat(np.minimum.reduceat(ranks, runs), np.diff(np.append(runs, n)))
                 head = by_place[earliest]
-                other = (doc[order] != doc[head]) | (place[order] != place[head])
+                other = np.any([x[order] != x[head] for x in (doc, text, place)], axis=0)
                 hit = order[other & (start >= first_start[order]) & (start <= last_start[order])]
                 low[hit] = np.minimum(low[hit], start)
                 high[hit] = np.maximum(high[hit], start)
-        found = high >= 0
-        origin = (place - BEFORE)[found]
-        # All strings of a segment hold its anchor, so those between the first and the last repeat cover one stretch.
-        yield from _stretches(doc[found], origin + low[found], origin + high[found] + LENGTH)
+            found = high >= 0
+            origin = (place - BEFORE)[found]
+            # All strings of a segment hold its anchor, so those between the first and the last repeat cover one stretch.
+            yield from _stretches(doc[found], text[found], origin + low[found], origin + high[found] + LENGTH)
 
-    dealt = segments.repartition(shuffle_width(segments.sparkSession), "anchor")
+    dealt = segments.repartition(shuffle_width(segments.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, FOUND)
 
 
@@ -276,19 +294,20 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def without_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """Each row's remaining bytes, with its figures."""
-    texts = compressed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = written(compare_surroundings(find_anchors(docs)), "surroundings")
+    rows = keyed(docs)
+    texts = zipped(rows)
+    found = written(compare_surroundings(find_anchors(rows)), "surroundings")
     repeats = repeated_strings(cut_segments(found.filter(F.col("kind") == SEGMENT), texts))
-    stretches = found.filter(F.col("kind") == STRETCH).unionByName(repeats).select("doc_id", "begin", "end")
-    held = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
+    stretches = found.filter(F.col("kind") == STRETCH).unionByName(repeats).select("doc_id", "text_hash", "begin", "end")
+    held = stretches.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
 
     def run(batches):
         for batch in batches:
             out = [[] for _ in range(6)]
             for doc, frame, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = expanded(frame).encode()
-                pairs = np.array([(x["begin"], min(x["end"], len(raw))) for x in held or ()], np.int64).reshape(-1, 2)
-                _, begin, end = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+                pairs = np.array([(x["begin"], x["end"]) for x in held or ()], np.int64).reshape(-1, 2)
+                _, begin, end = merged([np.zeros(len(pairs), np.int64)], pairs[:, 0], pairs[:, 1])
                 parts, at = [], 0
                 for a, b in zip(begin.tolist(), end.tolist()):
                     parts.append(raw[at:a])
@@ -300,7 +319,7 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return texts.join(held, "doc_id", "left").select("doc_id", "text", "stretches").mapInArrow(run, RESULT)
+    return texts.join(held, ["doc_id", "text_hash"], "left").select("doc_id", "text", "stretches").mapInArrow(run, RESULT)
 
 
 def op3_suffix_dedup(docs: DataFrame) -> DataFrame:

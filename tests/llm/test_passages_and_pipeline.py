@@ -98,3 +98,105 @@ def test_pipeline(spark):
     result = corpus_pipeline.run(spark, d).collect()
     check_packing(result, kept[3])
     assert {r.doc_id for r in result} == {i for i, _ in kept[3]}
+
+
+def edited(rng, words_, kind):
+    """One or two words changed, put in or left out."""
+    out = list(words_)
+    for _ in range(1 if len(out) < 90 else 2):
+        p = rng.randrange(len(out))
+        if kind == "changed":
+            out[p] = f"e{rng.randrange(10**9)}"
+        elif kind == "put in":
+            out[p:p] = [f"e{rng.randrange(10**9)}" for _ in range(rng.choice((1, 2)))]
+        else:
+            del out[p : p + rng.choice((1, 2))]
+    return out
+
+
+def likeness(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def planted(rng, groups):
+    """Documents of own words with one passage each; passages of a group are edits of one text, in any order. Also the
+    pairs of documents whose passages are alike by 0.8 or more, by brute force."""
+    rows, pairs, texts = [], {}, []
+    for g in range(groups):
+        base = words(rng, rng.randrange(52, 130))
+        kinds = [None] + [rng.choice(("changed", "put in", "left out")) for _ in range(rng.choice((1, 2, 4)))]
+        rng.shuffle(kinds)
+        texts += [(g, kind, edited(rng, base, kind) if kind else base) for kind in kinds]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    for i, at in enumerate(order):
+        own = words(rng, 160)
+        own[60:60] = texts[at][2]
+        rows.append((i, " ".join(own)))
+    by_group = {}
+    for i, at in enumerate(order):
+        by_group.setdefault(texts[at][0], []).append((i, texts[at]))
+    for held in by_group.values():
+        for j, (b, y) in enumerate(held):
+            for a, x in held[:j]:
+                if min(len(x[2]), len(y[2])) >= 50 and likeness(x[2], y[2]) >= 0.8:
+                    pairs[min(a, b), max(a, b)] = {x[1], y[1]} - {None}
+    return rows, pairs
+
+
+def test_recall_of_edited_passages(spark):
+    """Of the pairs that brute force finds, nine in ten at least lie in one component; passages alone link documents."""
+    rows, pairs = planted(random.Random(21), 250)
+    got = {r.doc_id: r for r in compact_windows.op4_compact_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [got[a].component_id == got[b].component_id for a, b in pairs]
+    print("pairs", len(pairs), "recall", sum(linked) / len(linked))
+    for kind in ("changed", "put in", "left out"):
+        of = [got[a].component_id == got[b].component_id for (a, b), k in pairs.items() if kind in k]
+        print(kind, len(of), sum(of) / len(of))
+        assert sum(of) >= 0.9 * len(of)
+    assert sum(linked) >= 0.95 * len(linked)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    # Texts of a passage's documents outside it differ: components are no larger than likeness makes them, but for
+    # stretches that reach a little past what was planted.
+    wrong = [i for i, _ in rows if find(i) != got[i].component_id]
+    assert len(wrong) <= 0.1 * len(rows)
+
+
+def test_passages_of_frequent_lines(spark):
+    """An equal passage of two lines, each of which is frequent for itself; and passages of more such lines."""
+    rng = random.Random(22)
+    lines = [words(rng, 30) for _ in range(40)]
+    rows = [(i, " ".join(words(rng, 40) + lines[i % 40] + words(rng, 40))) for i in range(400)]
+    want = {}
+    for k in range(60):
+        x, y = rng.sample(range(40), 2)
+        for j in range(2):
+            rows.append((1000 + 2 * k + j, " ".join(words(rng, 40) + lines[x] + lines[y] + words(rng, 40))))
+        want[1001 + 2 * k] = 1000 + 2 * k
+    got = {r.doc_id: r for r in compact_windows.op4_compact_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d].n_repeated_words >= 60 for d in want) >= 0.95 * len(want)
+    assert exact_runs(rows) >= {d for d, r in got.items() if r.n_repeated_words}
+    assert all(r.n_links == 0 for d, r in got.items() if d < 1000)
+
+
+def test_passages_of_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(23)
+    p, a, b = words(rng, 70), words(rng, 100), words(rng, 90)
+    rows = [(1, " ".join(p)), (5, " ".join(a + p)), (5, "a b"), (None, " ".join(b + p)), (None, " ".join(b)), (None, None), (7, " ".join(words(rng, 300)))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars int")
+    got = compact_windows.op4_compact_windows(df).collect()
+    assert len(got) == len(rows) and sum(r.n_repeated_words for r in got) == 70 + 70 + 90
+    assert {r.component_id for r in got if r.doc_id == 5 and r.n_words > 2} == {1}
+    kept = compact_windows.without_passages(df).collect()
+    left = " ".join(r.text or "" for r in kept).split()
+    # Each passage is left once, in one of its rows.
+    assert sorted(left) == sorted(p + a + b + ["a", "b"] + rows[6][1].split())

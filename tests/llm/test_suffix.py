@@ -58,3 +58,40 @@ def test_columns_give_suffix_order_and_common_prefixes():
             while same < 12 - start and tails[i][same] == tails[i - 1][same]:
                 same += 1
             assert common[i] == same
+
+
+def as_hashed(df):
+    """Rows as their own documents: equal ones once, texts of one doc_id in the order of their hash."""
+    from strandlake.llm.common import text_hash
+
+    rows = df.select("doc_id", text_hash().alias("h"), "text").distinct().collect()
+    order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    return [(i, r.text) for i, r in enumerate(order)], [r.doc_id for r in order]
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y = text(300), text(300)
+    cases = [
+        [(None, x), (None, y), (None, x[:150] + y[:150])],
+        [(1, x), (1, y + x[:150]), (2, x[50:200])],
+        [(None, text(90) + x[i : i + 120] + y[2 * i :][:101]) for i in range(30)] + [(4, x), (4, x), (4, y), (4, x + y), (None, None), (None, ""), (3, y)],
+    ]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        numbered, names = as_hashed(df)
+        want = sorted(((names[r[0]], *r[1:]) for r in brute_force(numbered)), key=repr)
+        assert sorted(set(map(tuple, suffix_dedup.op3_suffix_dedup(df).collect())), key=repr) == sorted(set(want), key=repr)
+        assert suffix_dedup.op3_suffix_dedup(df).count() == len(rows)
+
+
+def test_blocks_of_whole_anchors(spark, monkeypatch):
+    """More segments than a block holds, many about one anchor."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENTS", 50)
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, parts = text(130), [text(140) for _ in range(8)]
+    rows = [(i, text(rng.randrange(60)) + line + text(rng.randrange(60)) + rng.choice(parts)[rng.randrange(30) :]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.op3_suffix_dedup(df).collect()), key=repr) == brute_force(rows)
