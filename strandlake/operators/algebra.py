@@ -97,20 +97,24 @@ def _streamed(ops: DataFrame, keys: list[str], order: str, strict: bool, emit, s
             rows.clear()
             return out
 
+        def emitted():
+            for x in emit(value):
+                rows.append((*key, *x))
+                if len(rows) > 20_000:
+                    yield block()
+
         for batch in batches:
             if arrow is None:
                 arrow = [*(batch.schema.field(i).type for i in range(width)), *(pa.int64() if x.strip().split()[1] == "bigint" else pa.string() for x in schema.split(","))]
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in kinds.names)
-                if own != key:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns):
+                if row[:width] != key:
                     if key is not None:
-                        rows.extend((*key, *x) for x in emit(value))
-                    key, value = own, None
-                value = apply(value, row, strict)
-                if len(rows) > 20_000:
-                    yield block()
+                        yield from emitted()
+                    key, value = row[:width], None
+                value = apply(value, dict(zip(have, row[width + 1 :])), strict)
         if key is not None:
-            rows.extend((*key, *x) for x in emit(value))
+            yield from emitted()
             yield block()
 
     dealt = ops.select(*keys, order, *have).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order)
@@ -126,6 +130,6 @@ def fold_items(ops: DataFrame, keys: list[str], order: str = "sequence", strict:
     """The items of each chain's array, a row for each with its position from 0."""
 
     def items(value):
-        return [(i, json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False)) for i, x in enumerate(_container(value, list))]
+        return ((i, json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False)) for i, x in enumerate(_container(value, list)))
 
     return _streamed(ops, keys, order, strict, items, "pos bigint, item string")

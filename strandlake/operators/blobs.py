@@ -31,3 +31,21 @@ def verified(blobs: DataFrame) -> DataFrame:
 
 def total_size(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.sum(F.col("size") + OVERHEAD + F.octet_length("content_type")).cast("bigint").alias("total_size"), F.count("*").alias("n_blobs"))
+
+
+def get(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted hashes (hash) with their contents; null where a blob is missing or its content no longer has that hash."""
+    held = wanted.join(blobs.select("hash", "content", "content_type"), "hash", "left")
+    sound = F.sha2("content", 256) == F.col("hash")
+    return held.select("hash", F.when(sound, F.col("content")).alias("content"), F.when(sound, F.col("content_type")).alias("content_type"))
+
+
+def deleted(blobs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blobs that stay, and the hashes with whether each was there."""
+    there = blobs.select("hash").withColumn("was_there", F.lit(True))
+    gone = hashes.distinct().join(there, "hash", "left").withColumn("was_there", F.coalesce("was_there", F.lit(False)))
+    return blobs.join(hashes, "hash", "left_anti"), gone
+
+
+def listed(blobs: DataFrame) -> DataFrame:
+    return blobs.select("hash")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, functions as F
+from ..functions.ordering import range_of, range_points
 
 NO_CAP = (1 << 63) - 1
 
@@ -13,15 +13,13 @@ def lineage(branches: DataFrame) -> DataFrame:
     """(branch, ancestor, cap, depth): a branch sees itself without a cap and each state ancestor up to the least
     branch point on the way. The parent at creation counts, so deleting or moving branches later changes nothing;
     a branch that inherits no state sees itself alone."""
-    spark, view = branches.sparkSession, f"branches_{uuid.uuid4().hex}"
-    branches.createOrReplaceTempView(view)
-    return spark.sql(f"""
+    return branches.sparkSession.sql(f"""
         WITH RECURSIVE up(branch, ancestor, cap, depth) MAX RECURSION LEVEL 10000 AS (
-          SELECT id, id, CAST({NO_CAP} AS BIGINT), 0 FROM {view}
+          SELECT id, id, CAST({NO_CAP} AS BIGINT), 0 FROM {{table}}
           UNION ALL
           SELECT u.branch, b.state_parent, least(u.cap, b.branch_point), u.depth + 1
-          FROM up u JOIN {view} b ON u.ancestor = b.id WHERE b.state_parent IS NOT NULL AND b.inherits_state)
-        SELECT * FROM up""")
+          FROM up u JOIN {{table}} b ON u.ancestor = b.id WHERE b.state_parent IS NOT NULL AND b.inherits_state)
+        SELECT * FROM up""", table=branches)
 
 
 def visible(ops: DataFrame, lines: DataFrame, at: int | None = None) -> DataFrame:
@@ -81,3 +79,71 @@ def reconcile_heads(branches: DataFrame, log_heads: DataFrame) -> DataFrame:
     knows are orphans."""
     joined = branches.select("id", "branch_point").join(log_heads, F.col("id") == F.col("branch"), "full_outer")
     return joined.select(F.coalesce("id", "branch").alias("id"), F.greatest(F.coalesce("branch_point", F.lit(0)), F.coalesce("max_sequence", F.lit(0))).alias("head"), F.col("id").isNull().alias("orphan"))
+
+
+def listed(branches: DataFrame) -> DataFrame:
+    """Live branches with their parent's name. Needs a column head."""
+    names = branches.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    return branches.filter(~F.col("deleted")).join(names, "parent", "left").select("id", "name", "head", "parent_name", "branch_point")
+
+
+def fork(heads: DataFrame, requests: DataFrame) -> DataFrame:
+    """Forks asked for (name, parent, at; at null: the parent's head): their branch points, and whether they may be made,
+    that is, the parent is there and reaches so far. heads: branches with a column head."""
+    known = heads.filter(~F.col("deleted")).select(F.col("id").alias("parent"), "head")
+    joined = requests.join(known, "parent", "left")
+    point = F.coalesce("at", "head")
+    return joined.select("name", "parent", point.alias("branch_point"), F.coalesce(point <= F.col("head"), F.lit(False)).alias("ok"))
+
+
+def fork_lineage(lines: DataFrame, forks: DataFrame) -> DataFrame:
+    """(branch, ancestor, cap) of new forks (branch, parent, branch_point, inherits_state): what the parent sees up to the
+    branch point, and the fork's own operations."""
+    seen = forks.filter("inherits_state").select(F.col("branch").alias("_new"), "parent", "branch_point").join(lines.withColumnRenamed("branch", "parent"), "parent")
+    own = forks.select("branch", F.col("branch").alias("ancestor"), F.lit(NO_CAP).alias("cap"))
+    return seen.select(F.col("_new").alias("branch"), "ancestor", F.least("cap", "branch_point").alias("cap")).unionByName(own)
+
+
+def is_visible(heads: DataFrame, points: DataFrame) -> DataFrame:
+    """Points (branch, sequence, ...) with whether the branch is live and reaches so far."""
+    known = heads.filter(~F.col("deleted")).select(F.col("id").alias("branch"), F.col("head").alias("_head"))
+    return points.join(known, "branch", "left").withColumn("visible", F.coalesce(F.col("sequence") <= F.col("_head"), F.lit(False))).drop("_head")
+
+
+def reparented(branches: DataFrame, gone: DataFrame, to: int | None = None) -> DataFrame:
+    """The table after the branches `gone` (id) are deleted and their live children hang on `to`. What a branch inherits
+    (state_parent) stays as it was."""
+    left = branches.join(gone.select("id", F.lit(True).alias("_gone")), "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
+    moved = gone.select(F.col("id").alias("parent"), F.lit(True).alias("_moved"))
+    joined = left.join(moved, "parent", "left")
+    away = F.coalesce("_moved", F.lit(False)) & ~F.col("deleted")
+    return joined.withColumn("parent", F.when(away, F.lit(to).cast("bigint")).otherwise(F.col("parent"))).select(*branches.columns)
+
+
+def visible_latest(ops: DataFrame, lines: DataFrame, at: int | None = None) -> DataFrame:
+    """(viewer, state_id, n_ops, value): of each state that a branch sees, the operations and the last value. Operations
+    don't go to each branch that sees them: the caps at which a branch is seen are few, so counts and last values are
+    found once for each branch, state and cap, by sums over ranges of the sequence and then inside one range, and
+    lineages join these."""
+    if at is not None:
+        ops = ops.filter(F.col("sequence") <= at)
+        lines = lines.withColumn("cap", F.least("cap", F.lit(at).cast("bigint")))
+    points = range_points(ops, "sequence", int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = ["branch", "state_id"]
+    own = ops.select(*key, "sequence", "value", range_of(F.col("sequence"), points).alias("r"))
+    sums = own.groupBy(*key, "r").agg(F.count("*").alias("n"), F.max_by(F.struct("value", "sequence"), "sequence").alias("last"))
+    before = Window.partitionBy(*key).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    until = sums.select(*key, "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.last("last", ignorenulls=True).over(before).alias("last_before"), (F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))).alias("n_all"), F.last("last").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("last_all"))
+    caps = lines.select(F.col("ancestor").alias("branch"), "cap").distinct().withColumn("r", range_of(F.col("cap"), points))
+    # For each cap and state the last range at or before the cap's that the state has operations in: both in one order.
+    marks = caps.join(until.select(*key).distinct(), "branch").select(*key, "r", "cap", F.lit(1).alias("kind"))
+    both = marks.unionByName(until.select(*key, "r", F.lit(0).alias("kind"), F.struct(F.col("r").alias("r_ops"), "n_before", "last_before", "n_all", "last_all").alias("found")), allowMissingColumns=True)
+    so_far = Window.partitionBy(*key).orderBy("r", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = both.withColumn("u", F.last("found", ignorenulls=True).over(so_far)).filter((F.col("kind") == 1) & F.col("u").isNotNull()).select(*key, "cap", "r", "u.*")
+    whole = nearest.filter(F.col("r_ops") < F.col("r")).select(*key, "cap", F.col("n_all").alias("n"), F.col("last_all").alias("last"))
+    inside = nearest.filter(F.col("r_ops") == F.col("r")).join(own.select(*key, "r", "sequence", "value"), [*key, "r"], "left").filter(F.col("sequence") <= F.col("cap"))
+    within = inside.groupBy(*key, "cap").agg(F.count("*").alias("k"), F.max_by(F.struct("value", "sequence"), "sequence").alias("own_last"))
+    part = nearest.filter(F.col("r_ops") == F.col("r")).join(within, [*key, "cap"], "left").select(*key, "cap", (F.col("n_before") + F.coalesce("k", F.lit(0))).alias("n"), F.coalesce("own_last", "last_before").alias("last")).filter("n > 0")
+    at_cap = whole.unionByName(part).withColumnRenamed("branch", "ancestor")
+    seen = lines.select(F.col("branch").alias("viewer"), "ancestor", "cap").join(at_cap, ["ancestor", "cap"])
+    return seen.groupBy("viewer", "state_id").agg(F.sum("n").alias("n_ops"), F.max_by("last.value", "last.sequence").alias("value"))

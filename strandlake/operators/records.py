@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.ordering import positioned
+
 
 def get_record(records: DataFrame, record_id: int) -> DataFrame:
     return records.filter(F.col("id") == record_id)
@@ -99,3 +101,53 @@ def damage(records: DataFrame) -> DataFrame:
     return records.join(F.broadcast(first), F.lit(True)).groupBy("first_bad").agg(
         F.count_if(F.col("first_bad").isNull() | (F.col("id") < F.col("first_bad"))).alias("valid_records"),
         F.coalesce(F.bool_or((F.col("id") > F.col("first_bad")) & ~bad), F.lit(False)).alias("corrupt"))
+
+
+def assigned(inputs: DataFrame, order: str, heads: DataFrame, next_id: int) -> DataFrame:
+    """Inputs (branch, ...) of one commit with the ids and sequences that they get: ids go on from `next_id` in the order
+    of the number column `order`, sequences from each branch's head (heads: branch, max_sequence)."""
+    numbered = positioned(positioned(inputs, [], order, "_i"), ["branch"], order, "_j")
+    known = heads.select("branch", F.col("max_sequence").alias("_head"))
+    joined = numbered.join(known, "branch", "left")
+    return joined.select(*inputs.columns, (F.col("_i") + next_id - 1).alias("id"), (F.col("_j") + F.coalesce("_head", F.lit(0))).alias("sequence"))
+
+
+def encoding_of(payload: Column) -> Column:
+    """The tag of a payload: json where it is some, else raw."""
+    return F.when(F.try_parse_json(F.try_validate_utf8(payload)).isNotNull(), "json").otherwise("raw")
+
+
+def with_identity(item: Column, record_id: Column, sequence: Column, id_field: str = "id", sequence_field: str = "sequence") -> Column:
+    """A JSON object with the record's id (as text) and sequence (as a number) in two fields, over what these held. Null
+    where the item is no object: such an append is not valid."""
+    held = F.from_json(item, "map<string,variant>")
+    others = F.map_filter(held, lambda k, _: ~k.isin(id_field, sequence_field))
+    own = F.create_map(F.lit(id_field), F.parse_json(F.to_json(F.array(record_id.cast("string")))), F.lit(sequence_field), F.parse_json(sequence.cast("string")))
+    own = F.transform_values(own, lambda k, v: F.when(k == id_field, F.try_variant_get(v, "$[0]", "variant")).otherwise(v))
+    return F.when(F.startswith(F.trim(item), F.lit("{")) & held.isNotNull(), F.to_json(F.map_concat(others, own)))
+
+
+def op_payload(kind: str, value: Column) -> Column:
+    """A state operation as it is logged: {"kind": [the value's bytes as numbers]}."""
+    digits = F.hex(value.cast("binary"))
+    at = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
+    numbers = F.when(F.length(digits) > 0, F.transform(at, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit(f'{{"{kind}":['), F.array_join(numbers, ","), F.lit("]}"))
+
+
+def decoded_op(payload: Column) -> Column:
+    """The inverse: a struct of the operation's kind and its value as text; null for what is no such payload."""
+    held = F.map_entries(F.from_json(payload, "map<string,array<int>>"))
+    code = F.array_join(F.transform(F.get(held, 0)["value"], lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return F.when(F.size(held) == 1, F.struct(F.get(held, 0)["key"].alias("op"), F.unhex(code).cast("string").alias("value")))
+
+
+def torn_tail(frames: DataFrame) -> DataFrame:
+    """For each log file (frames: sources.log_format): where its valid part ends, bytes after it, records in it, and
+    whether records with larger ids follow a bad frame, so that it must not be cut."""
+    bad = frames.filter(~F.col("ok")).groupBy("path").agg(F.min("offset").alias("truncated_at"))
+    good = F.col("ok") & (F.col("truncated_at").isNull() | (F.col("offset") < F.col("truncated_at")))
+    found = frames.join(bad, "path", "left").groupBy("path").agg(
+        F.max("truncated_at").alias("truncated_at"), F.count_if(good).alias("valid_records"), F.max("size").alias("_size"),
+        F.max(F.when(good, F.col("id"))).alias("_last"), F.max(F.when(F.col("ok") & ~good, F.col("id"))).alias("_later"))
+    return found.select("path", "truncated_at", "valid_records", F.coalesce(F.col("_size") - F.col("truncated_at"), F.lit(0)).alias("dropped_bytes"), F.coalesce(F.col("_later") > F.coalesce("_last", F.lit(0)), F.lit(False)).alias("corrupt"))

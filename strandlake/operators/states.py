@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordering import positioned
+from ..functions.ordering import positioned, running_sum
 from .algebra import WHOLE
 
 
@@ -18,14 +18,17 @@ def latest(ops: DataFrame, keys: list[str], at: int | None = None) -> DataFrame:
 
 def log_items(ops: DataFrame, keys: list[str], at: int | None = None) -> DataFrame:
     """(keys, pos, item, record sequence) of chains of Append and Edit alone: an append's position is its rank in the
-    chain; of the edits of a position the last one counts."""
+    chain; of the edits of a position the last one counts. An edit that came before its position was there changes
+    nothing."""
     if at is not None:
         ops = ops.filter(F.col("sequence") <= at)
     items = positioned(ops.filter(F.col("op") == "Append"), keys, "sequence", "_at").withColumn("pos", F.col("_at") - 1).select(*keys, "pos", F.col("value").alias("item"), "sequence")
     if "idx" not in ops.columns:
         return items
-    edits = ops.filter(F.col("op") == "Edit").groupBy(*keys, F.col("idx").alias("pos")).agg(F.max_by("value", "sequence").alias("edited"))
-    return items.join(edits, [*keys, "pos"], "left").withColumn("item", F.coalesce("edited", "item")).drop("edited")
+    edits = ops.filter(F.col("op") == "Edit").select(*keys, F.col("idx").alias("pos"), F.col("value").alias("_edited"), F.col("sequence").alias("_when"))
+    late = F.col("_when") > F.col("sequence")
+    joined = items.join(edits, [*keys, "pos"], "left")
+    return joined.groupBy(*keys, "pos", "sequence").agg(F.coalesce(F.max_by(F.when(late, F.col("_edited")), F.when(late, F.col("_when"))), F.first("item")).alias("item")).select(*keys, "pos", "item", "sequence")
 
 
 def lengths(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,9 +39,10 @@ def item_slice(items: DataFrame, offset: int, limit: int) -> DataFrame:
     return items.filter((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
 
 
-def item_tail(items: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The last n items of each chain, by position: lengths are joined, so no chain is sorted in one group."""
-    return items.join(lengths(items, keys), keys).filter(F.col("pos") >= F.col("length") - n).drop("length")
+def item_tail(items: DataFrame, keys: list[str], n: int, sizes: DataFrame | None = None) -> DataFrame:
+    """The last n items of each chain, by position: lengths are joined, so no chain is sorted in one group. sizes: keys
+    and length, where they come cheaper than from the items."""
+    return items.join(lengths(items, keys) if sizes is None else sizes, keys).filter(F.col("pos") >= F.col("length") - n).drop("length")
 
 
 def search(items: DataFrame, text: str, field: str | None = None, limit: int | None = 100) -> DataFrame:
@@ -49,11 +53,9 @@ def search(items: DataFrame, text: str, field: str | None = None, limit: int | N
 
 
 def truncated(items: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The longest tail of each chain whose items' bytes fit, with where it begins and how long the chain is."""
-    from pyspark.sql import Window
-
-    back = Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = items.withColumn("_bytes", F.sum(F.octet_length("item")).over(back))
+    """The longest tail of each chain whose items' bytes fit, with where it begins and how long the chain is. Bytes are
+    summed from the end by ranges of positions, then inside a range."""
+    sized = running_sum(items.select(*keys, "pos", F.octet_length("item").alias("_size")), keys, "pos", "_size", "_bytes", backwards=True)
     return sized.groupBy(*keys).agg(
         F.count("*").alias("total_length"), F.count_if(F.col("_bytes") <= most).alias("n_kept"),
         F.coalesce(F.min(F.when(F.col("_bytes") <= most, F.col("pos"))), F.count("*")).alias("from_index")).withColumn("truncated", F.col("n_kept") < F.col("total_length"))
@@ -102,3 +104,65 @@ def snapshot_needed(strategy: str, d: int, f: int, ops: int, deltas: int = 0, it
     if ops < d:
         return None
     return "full" if edited and strategy == "append_log" else "delta"
+
+
+def registered(requests: DataFrame, order: str) -> DataFrame:
+    """Requests (state_id, ...) with whether each registers its state: the first one does, the others find it there."""
+    firsts = requests.groupBy("state_id").agg(F.min(order).alias(order)).withColumn("ok", F.lit(True))
+    return requests.join(firsts, ["state_id", order], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
+def checked_ops(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Operations of append logs (without redactions) with whether each would be taken: an edit's index must lie below
+    the chain's length at that time, that is, the append at that index comes before it."""
+    places = positioned(ops.filter(F.col("op") == "Append"), keys, "sequence", "_at").select(*keys, (F.col("_at") - 1).alias("idx"), F.col("sequence").alias("_there"))
+    edits = ops.filter(F.col("op") == "Edit").join(places, [*keys, "idx"], "left").withColumn("ok", F.coalesce(F.col("_there") < F.col("sequence"), F.lit(False)))
+    return ops.filter(F.col("op") != "Edit").withColumn("ok", F.lit(True)).unionByName(edits.select(*ops.columns, "ok"))
+
+
+def read_shapes(asked: DataFrame, slots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What a read of each asked state_id finds: a value with its length, an empty one (registered, nothing written), or
+    no state of that name."""
+    known = slots.select("state_id").distinct().withColumn("_known", F.lit(True))
+    joined = asked.join(known, "state_id", "left").join(sizes, "state_id", "left")
+    shape = F.when(F.col("length").isNotNull(), "value").when(F.col("_known"), "empty").otherwise("unknown")
+    return joined.select("state_id", shape.alias("shape"), F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def page_from_end(items: DataFrame, keys: list[str], sizes: DataFrame, page: int, size: int) -> DataFrame:
+    """Page `page` (from 0) of each log, counted from its end; items in order. sizes: keys, length."""
+    end = F.col("length") - page * size
+    return items.join(sizes, keys).filter((F.col("pos") < end) & (F.col("pos") >= end - size)).drop("length")
+
+
+def compacted(ops: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """A full snapshot for each chain after its last operation: what compacting all states writes. values: fold's rows."""
+    last = ops.groupBy(*keys).agg((F.max("sequence") + 1).alias("sequence"))
+    return values.join(last, keys).select(*keys, "sequence", F.lit("Snapshot").alias("op"), "value", F.lit(True).alias("derived"))
+
+
+def compaction_stats(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each chain: its newest full and delta snapshots, deltas since the full one, and the figure that decides on the
+    next full one: operations since the newest snapshot of either kind, and one for each such delta."""
+    full, delta = F.col("op") == "Snapshot", F.col("op").isin("DeltaSnapshot", "TreeDeltaSnapshot")
+    marks = ops.groupBy(*keys).agg(F.max(F.when(full, F.col("sequence"))).alias("last_full"), F.max(F.when(delta, F.col("sequence"))).alias("last_delta"))
+    none = F.lit(0)
+    since = lambda *c: F.greatest(*[F.coalesce(x, none) for x in c], none)
+    after_full, after_both = F.col("sequence") > since("last_full"), F.col("sequence") > since("last_full", "last_delta")
+    found = ops.join(marks, keys).groupBy(*keys).agg(
+        F.max("last_full").alias("last_full"), F.max(F.when(F.col("last_delta") > since("last_full"), F.col("last_delta"))).alias("last_delta"),
+        F.count_if(delta & after_full).alias("deltas_since_full"), F.count_if(~delta & ~full & after_both).alias("_ops"))
+    return found.withColumn("ops_since_full", F.col("_ops") + F.col("deltas_since_full")).drop("_ops")
+
+
+def poison_verdicts(ops: DataFrame, keys: list[str], read: DataFrame, replayed: DataFrame) -> DataFrame:
+    """For each chain: clean, poisoned (what is read differs from a replay of the raw operations), healed (it would differ
+    but for a later full snapshot) or open (an edit or redaction that no snapshot covers yet). read, replayed: values."""
+    changes, delta, full = F.col("op").isin("Edit", "Redact"), F.col("op") == "DeltaSnapshot", F.col("op") == "Snapshot"
+    at = lambda c: F.max(F.when(c, F.col("sequence")))
+    marks = ops.groupBy(*keys).agg(at(changes).alias("_change"), at(delta).alias("_delta"), at(full).alias("_full"), F.min(F.when(changes, F.col("sequence"))).alias("_first"))
+    both = read.withColumnRenamed("value", "_read").join(replayed.withColumnRenamed("value", "_raw"), keys, "full_outer").join(marks, keys)
+    none = F.lit(0)
+    covered = F.greatest(F.coalesce("_delta", none), F.coalesce("_full", none))
+    verdict = F.when(~F.col("_read").eqNullSafe(F.col("_raw")), "poisoned").when((F.col("_full") > F.col("_delta")) & (F.col("_first") < F.col("_delta")), "healed").when(F.coalesce("_change", none) > covered, "open").otherwise("clean")
+    return both.select(*keys, verdict.alias("verdict"))

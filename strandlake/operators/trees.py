@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import InvalidOperation
 
 
-def valid_path(path: Column) -> Column:
+def valid_path(path: Column | str) -> Column:
     """Not empty, no leading slash, no NUL, and no component that is one dot or two."""
+    path = F.col(path) if isinstance(path, str) else path
     parts = F.split(path, "/")
     return (F.length(path) > 0) & ~F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("\0")) & ~F.arrays_overlap(parts, F.array(F.lit("."), F.lit("..")))
 
@@ -52,3 +53,25 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     joined = old.withColumnRenamed("entry", "old").join(new.withColumnRenamed("entry", "new"), by, "full_outer")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
     return joined.filter(~F.col("old").eqNullSafe(F.col("new"))).select(*by, change.alias("change"), "old", "new")
+
+
+def valid_ops(ops: DataFrame) -> DataFrame:
+    """Tree operations with whether each would be taken: all paths that it names must be valid, a set needs its entry; one
+    bad path leaves a whole batch out."""
+    single = valid_path("path") & ((F.col("op") != "TreeSet") | F.col("entry").isNotNull())
+    batch = F.forall("ops", lambda o: valid_path(o["path"]) & ((o["op"] != "set") | o["entry"].isNotNull()))
+    return ops.withColumn("ok", F.coalesce(F.when(F.col("op").isin("TreeSet", "TreeRemove"), single).otherwise(batch), F.lit(False)))
+
+
+def snapshots(ops: DataFrame, keys: list[str], at: int | None = None) -> DataFrame:
+    """A row that sets each path of each tree as it is (at a sequence): with later operations after it, it stands for all
+    before."""
+    sequence = ops.filter(F.lit(True) if at is None else F.col("sequence") <= at).groupBy(*keys).agg(F.max("sequence").alias("sequence"))
+    held = tree(ops, keys, at)
+    rows = held.join(sequence, keys) if keys else held.join(F.broadcast(sequence), F.lit(True))
+    return rows.select(*keys, "sequence", F.lit("TreeSet").alias("op"), "path", "entry")
+
+
+def shaped_diff(changes: DataFrame) -> DataFrame:
+    """diff's rows as they go over the wire: the change's name and both entries as JSON, absent ones null."""
+    return changes.select(*[c for c in changes.columns if c not in ("change", "old", "new")], F.col("change").alias("change_type"), F.to_json("old").alias("old_entry"), F.to_json("new").alias("new_entry"))

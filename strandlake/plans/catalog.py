@@ -207,7 +207,7 @@ def _(spark, d):
 
 @query("a1_fold_whole_values", "SELECT user_id, arg_max(props, event_id) AS value FROM events GROUP BY user_id")
 def _(spark, d):
-    return algebra.fold(m.slot_ops(spark, d), ["user_id"])
+    return states.latest(m.slot_ops(spark, d), ["user_id"]).drop("sequence")
 
 
 @query("a4_append_logs", f"WITH {CONV} SELECT conv_id, pos, role, text FROM c")
@@ -233,7 +233,8 @@ def _(spark, d):
 
 @query("t9_tail", f"WITH {CONV} SELECT conv_id, pos, text FROM c WHERE pos >= n - 2")
 def _(spark, d):
-    return states.item_tail(states.log_items(m.conversation_ops(spark, d), ["conv_id"]), ["conv_id"], 2).select("conv_id", "pos", F.get_json_object("item", "$.text").alias("text"))
+    ops = m.conversation_ops(spark, d)
+    return states.item_tail(states.log_items(ops, ["conv_id"]), ["conv_id"], 2, ops.groupBy("conv_id").agg(F.count("*").alias("length"))).select("conv_id", "pos", F.get_json_object("item", "$.text").alias("text"))
 
 
 @query("t10_fold_items", f"WITH {EDITED} SELECT user_id, unnest(range(len(f.items))) AS pos, CAST(unnest(f.items) AS VARCHAR) AS item FROM folded")
@@ -248,9 +249,8 @@ def _(spark, d):
 
 @query("a6_edits_without_redactions", f"WITH {EDITED.replace('FROM events)', '''FROM events WHERE event_type <> 'error')''')} SELECT user_id, unnest(range(len(f.items))) AS pos, CAST(unnest(f.items) AS VARCHAR) AS item FROM folded")
 def _(spark, d):
-    # An edit counts only if its position was there: the relational form first joins each to the rank before it.
     ops = m.edited_ops(spark, d).filter("op <> 'Redact'")
-    return algebra.fold_items(ops, ["user_id"], strict=False)
+    return states.log_items(ops, ["user_id"]).drop("sequence")
 
 
 @query("a12_fields", "SELECT user_id, count(*) FILTER (event_type IN ('click', 'view')) AS n_items, arg_max(event_id + 1, event_id) FILTER (event_type = 'purchase') AS last_count FROM events GROUP BY user_id")
@@ -332,14 +332,12 @@ def _(spark, d):
 
 @query("b18_visible", f"WITH RECURSIVE {LINES} SELECT u.branch AS viewer, state_id, count(*) AS n_ops, arg_max(value, sequence) AS value FROM up u JOIN o ON o.branch = u.ancestor AND o.sequence <= u.cap GROUP BY ALL")
 def _(spark, d):
-    seen = br.visible(m.branch_ops(spark, d), br.lineage(m.branches(spark, d)))
-    return seen.groupBy("viewer", "state_id").agg(F.count("*").alias("n_ops"), F.max_by("value", "sequence").alias("value"))
+    return br.visible_latest(m.branch_ops(spark, d), br.lineage(m.branches(spark, d)))
 
 
 @query("b2_visible_at", f"WITH RECURSIVE {LINES} SELECT u.branch AS viewer, state_id, count(*) AS n_ops, arg_max(value, sequence) AS value FROM up u JOIN o ON o.branch = u.ancestor AND o.sequence <= least(u.cap, 900) GROUP BY ALL")
 def _(spark, d):
-    seen = br.visible(m.branch_ops(spark, d), br.lineage(m.branches(spark, d)), 900)
-    return seen.groupBy("viewer", "state_id").agg(F.count("*").alias("n_ops"), F.max_by("value", "sequence").alias("value"))
+    return br.visible_latest(m.branch_ops(spark, d), br.lineage(m.branches(spark, d)), 900)
 
 
 # Trees
@@ -471,6 +469,9 @@ def _(spark, d):
     return found.groupBy("type", "record_type").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+from . import changes as _changes  # noqa: E402, F401  (registers the rest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ordering import positioned
+from ..sources import log_format
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,25 @@ def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(heads, rows["id"] == heads["branch"], "left").withColumn("head", F.greatest(F.coalesce("own", F.lit(0)), "branch_point")).drop("own", "branch")
 
 
+def feed_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """branch_ops as a feed has them."""
+    return branch_ops(spark, sf_dir).withColumn("record_id", F.col("sequence")).withColumn("derived", F.lit(False))
+
+
+def logs(spark: SparkSession, sf_dir: str, least: int = 1, damaged: int | None = None) -> DataFrame:
+    """(path, log, content): binary record logs of the events, one for each fortieth of the users, with `least` records at
+    least; `damaged`: the number of the record in each log whose payload isn't what its checksum says."""
+    at = F.row_number().over(Window.partitionBy("log").orderBy("event_id"))
+    rows = events(spark, sf_dir).withColumn("log", F.col("user_id") % 40).withColumn("i", at)
+    frame = log_format.frame_of(
+        F.col("event_id") + 1, F.col("event_id") + 1, 1 + F.col("user_id") % 5, F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_type"), F.lit("json"), F.col("props").cast("binary"),
+        F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")), F.array().cast("array<int>"),
+        F.crc32(F.col("props").cast("binary")) + F.when(F.col("i") == F.lit(damaged), 1).otherwise(0))
+    framed = rows.select("log", "event_id", frame.alias("frame"))
+    joined = framed.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("event_id", F.hex("frame").alias("frame")))).alias("f"), F.count("*").alias("n"))
+    return joined.filter(F.col("n") >= least).select(F.col("log").cast("string").alias("path"), "log", F.unhex(F.array_join(F.transform("f", lambda x: x["frame"]), "")).alias("content"))
+
+
 def blob_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.lit("text/plain").alias("content_type"), F.col("doc_id").alias("place"))
     pages = table(spark, sf_dir, "pages").select(F.col("html").alias("content"), F.lit("text/html").alias("content_type"), (-1 - F.col("page_id")).alias("place"))

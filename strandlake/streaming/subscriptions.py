@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.algebra import WHOLE
 from ..operators.records import elided_payload
 
 PAYLOAD_BYTES = 4096
@@ -51,14 +52,47 @@ def state_events(ops: DataFrame, config: Subscription) -> DataFrame:
     return found.filter(~F.col("derived")).select(F.lit("state_delta").alias("type"), F.col("record_id").alias("id"), "branch", "sequence", "state_id", "op", "value")
 
 
-def live(records: DataFrame, config: Subscription) -> DataFrame:
-    return record_events(records, config)
+def branch_events(branches: DataFrame, config: Subscription) -> DataFrame:
+    """branch_created for each branch, with its parent's name, and branch_deleted for those deleted."""
+    found = branches if config.include_branch_events else branches.filter(F.lit(False))
+    if config.branch is not None:
+        found = found.filter(F.col("id") == config.branch)
+    parents = branches.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    made = found.join(parents, "parent", "left").select(F.lit("branch_created").alias("type"), F.col("id").alias("branch"), "name", "parent_name", F.col("created").alias("at"))
+    gone = found.filter("deleted").select(F.lit("branch_deleted").alias("type"), F.col("id").alias("branch"), "name")
+    return made.unionByName(gone, allowMissingColumns=True)
 
 
-def catch_up(records: DataFrame, config: Subscription, branch: int) -> DataFrame:
-    """Records of the branch from `from_sequence` on (none without it), and one row caught_up; order by id, nulls last."""
+def state_snapshots(ops: DataFrame, config: Subscription, most: int = SNAPSHOT_BYTES) -> DataFrame:
+    """The subscribed states (of whole values) as they were at `from_sequence`, or as they are where they came later. A
+    value of more than `most` bytes is left out, and the row says so; logs go item by item: see states.truncated."""
+    found = ops if config.include_state_changes and config.from_sequence is not None else ops.filter(F.lit(False))
+    if config.state_ids:
+        found = found.filter(F.col("state_id").isin(*config.state_ids))
+    found = found.filter(F.col("op").isin(*WHOLE))
+    then = F.col("sequence") <= F.lit(config.from_sequence)
+    last = found.groupBy("state_id").agg(F.max_by(F.struct("value", "sequence"), F.when(then, F.col("sequence"))).alias("t"), F.max_by(F.struct("value", "sequence"), "sequence").alias("l"))
+    shot = last.select(F.lit("state_snapshot").alias("type"), "state_id", F.coalesce("t", "l").alias("s")).select("type", "state_id", "s.*")
+    large = F.octet_length("value") > most
+    return shot.withColumn("truncated", large).withColumn("value", F.when(~large, F.col("value")))
+
+
+def live(records: DataFrame, config: Subscription, ops: DataFrame | None = None, branches: DataFrame | None = None) -> DataFrame:
+    """The events of new records, state operations (state_id, branch, sequence, record_id, op, value, derived) and
+    branches that the subscription asks for."""
+    found = record_events(records, config)
+    for more in ([state_events(ops, config)] if ops is not None else []) + ([branch_events(branches, config)] if branches is not None else []):
+        found = found.unionByName(more, allowMissingColumns=True)
+    return found
+
+
+def catch_up(records: DataFrame, config: Subscription, branch: int, ops: DataFrame | None = None) -> DataFrame:
+    """What a subscriber gets first: with `from_sequence`, snapshots of the subscribed states (of `ops`: what the branch
+    sees) and the branch's records from there on; then one row caught_up. Order by id, nulls last."""
     rows = record_events(records.filter(F.col("branch") == branch), config)
     rows = rows.filter(F.col("sequence") >= config.from_sequence) if config.from_sequence is not None else rows.filter(F.lit(False))
+    if ops is not None:
+        rows = rows.unionByName(state_snapshots(ops, config), allowMissingColumns=True)
     end = records.sparkSession.range(1).select(F.lit("caught_up").alias("type"))
     return rows.unionByName(end, allowMissingColumns=True)
 
