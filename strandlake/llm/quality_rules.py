@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of, written
+from .common import text_hash, text_of, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -122,7 +122,7 @@ def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
     marks = joined.groupBy("doc_id", "host", "text_hash").agg(F.max(bad).alias("_bad"), F.first("gone", ignorenulls=True).alias("_gone"))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_bad", F.when(~F.col("_bad"), F.col("_gone")).alias("_gone"))
     names = docs.columns
-    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), F.xxhash64(text_of(), F.char_length(text_of())).alias("_t"))
+    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), text_hash().alias("_t"))
     same = F.col("_d").eqNullSafe(F.col("_doc")) & F.col("_s").eqNullSafe(F.col("_host")) & (F.col("_t") == F.col("_hash"))
     kept = ours.join(marks, same, "left").filter(~F.coalesce("_bad", F.lit(False)))
     old = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))

@@ -101,3 +101,59 @@ def test_repeated_rows_count_their_own_lines_once(spark):
     got = quality_rules.op5_quality_rules(df)
     assert same(got.collect(), by_sql(df.toPandas(), got.columns))
     assert {r.removed_chars for r in got.collect() if r.doc_id} == {len(menu)}
+
+
+def plain_fusion(rows):
+    """The posterior of each scored row in plain Python, from the same sums."""
+    import math
+    from collections import defaultdict
+
+    k = len(language_id.LANGUAGES) + 1
+    soft = []
+    for r in rows:
+        top = max(r.logs)
+        raw = [math.exp(x - top) for x in r.logs]
+        soft.append([x / sum(raw) for x in raw] if r.n_trigrams else [0.0] * k)
+    sums = {c: defaultdict(lambda: [0.0] * k) for c in ("suffix", "host", "declared")}
+    total = [sum(p[i] for p in soft) for i in range(k)]
+    for r, p in zip(rows, soft):
+        for c, held in sums.items():
+            held[r[c]] = [a + b for a, b in zip(held[r[c]], p)]
+    out = []
+    for r in rows:
+        s, h, d = (sums[c][r[c]] for c in ("suffix", "host", "declared"))
+        corpus = [(t + 0.5) / (sum(total) + 0.5 * k) for t in total]
+        in_suffix = [(x + language_id.STRENGTH * c) / (sum(s) + language_id.STRENGTH) for x, c in zip(s, corpus)]
+        in_host = [(x + language_id.STRENGTH * c) / (sum(h) + language_id.STRENGTH) for x, c in zip(h, in_suffix)]
+        tag = [(x + 1) / (t + len(sums["declared"])) for x, t in zip(d, total)]
+        e = [x + math.log(a) + math.log(b) for x, a, b in zip(r.logs, in_host, tag)]
+        best = max(e)
+        share = 1 / sum(math.exp(x - best) for x in e)
+        out.append((r.doc_id, [*language_id.LANGUAGES, "und"][e.index(best)] if r.n_trigrams else "und", share if r.n_trigrams else 0.0))
+    return out
+
+
+def test_fusion_matches_a_plain_version(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    address = F.concat(F.lit("http://"), "source", F.when(F.col("doc_id") % 3 == 0, ".example.fr").when(F.col("doc_id") % 3 == 1, ".example.de/x").otherwise(""))
+    docs = docs.withColumn("source", address).withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "en").otherwise(F.col("lang")))
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2))
+    labelled = docs.select(F.col("lang").alias("label"), "text")
+    models = language_id.fit(labelled, half=1), language_id.fit(labelled, half=0)
+    scored = language_id.written(language_id.scores(docs, models, "lang", "source"), "scores")
+    want = sorted(plain_fusion(scored.collect()), key=repr)
+    for rows in (language_id.BROADCAST_ROWS, 2):
+        # The second time each table is too large to be broadcast.
+        monkeypatch.setattr(language_id, "BROADCAST_ROWS", rows)
+        got = sorted(((r.doc_id, r.language, r.posterior) for r in language_id.fuse(scored).collect()), key=repr)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+
+
+def test_a_text_is_scored_by_the_model_that_has_not_seen_it(spark):
+    """Rows that alone hold a language's words declare another one: their texts still speak for what others say."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = docs.filter("lang = 'fr'").orderBy("doc_id").limit(1).withColumn("lang", F.lit("de"))
+    both = docs.join(one.select("doc_id"), "doc_id", "left_anti").unionByName(one)
+    found = {r.doc_id: r for r in language_id.op8_language_id(both).collect()}
+    assert found[one.first().doc_id].language == "fr"
