@@ -82,6 +82,24 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 100 for i in range(100, 161)} | {5: 5} | {k: 5 for k in range(1000, 1200)}
 
 
+def test_components_of_heavy_nodes(spark, monkeypatch):
+    """Nodes with many edges go by broadcast."""
+    monkeypatch.setattr(components, "HEAVY", 20)
+    rng = random.Random(6)
+    edges = [(rng.choice((50, 60, 70)), rng.randrange(100, 400)) for _ in range(300)] + [(900 + i, 901 + i) for i in range(40)] + [(1, 60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        parent[max(find(u), find(v))] = min(find(u), find(v))
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {x: find(x) for x in parent}
+
+
 def test_true_pairs_in_a_group_below_the_threshold_are_found(spark):
     """A template's documents are 0.80 to 0.84 alike with each other, and a few pairs just above 0.85."""
     rng = random.Random(8)
