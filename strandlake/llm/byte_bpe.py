@@ -3,6 +3,9 @@
 Each token's bytes become printable characters, one for each byte; a piece scores its negative rank,
 so sentencepiece merges in rank order, the leftmost first. Normalisation is the identity. Pre-tokens
 of the split pattern are encoded each for itself, and decoding maps ids back to bytes.
+
+A null or empty text has no ids. Rows are independent, so repeated rows get equal results, and a null doc_id is one like any
+other. Texts of any length go in whole. An empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

@@ -7,6 +7,10 @@ go up by SHA-256: equal roots mean equal texts. Below paragraphs lie pieces of a
 
 A fingerprint is text: `root:section;section;...`, a section being `digest=paragraph,paragraph,...`
 and a paragraph `digest.pieces` (base64 of a mark and a length, five bytes for each piece).
+
+A null text is empty, as an empty one it has a root without sections. Null doc_ids come last, rows of one doc_id go by
+their text, equal ones are each other's next. Texts of any length count whole. An empty table gives no rows; other
+columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

@@ -5,6 +5,10 @@ own content checksum), a skippable frame with the documents' ids, and last a ski
 the seek table: for each frame its compressed size, its decompressed size and the low 32 bits of
 the XXH64 of its content, then a footer. Files cover rising ranges of doc_id. A reader fetches the
 two tables at the file's end, then only the frames of the documents it wants.
+
+A null or empty text has the end id alone. A null doc_id comes before all others; rows of one doc_id, equal ones too, are
+documents of their own and go by their text. Texts of any length go in whole. An empty table gives files without frames
+and no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

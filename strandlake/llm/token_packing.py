@@ -5,6 +5,9 @@ it in its partition. Partition totals (a row for each partition) give each parti
 by a prefix sum. Pass two adds the offset and cuts each document at multiples of the window: a
 piece that begins inside a window continues what another document or partition began, so pieces are
 the boundary records and no partition waits for another. Only the last window has padding.
+
+A null or empty text has the end id alone. Repeated rows are packed each for itself; a null doc_id is one like any
+other. Texts of any length go in whole. An empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

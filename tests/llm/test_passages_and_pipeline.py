@@ -200,3 +200,83 @@ def test_passages_of_rows_without_an_id_of_their_own(spark):
     left = " ".join(r.text or "" for r in kept).split()
     # Each passage is left once, in one of its rows.
     assert sorted(left) == sorted(p + a + b + ["a", "b"] + rows[6][1].split())
+
+
+def plain_quality(rows):
+    """(doc_id, text) of the rows (doc_id, text, source) that the quality stage keeps, in plain Python."""
+    held, by_line, hosts = [], {}, {}
+    for d, text, host in rows:
+        text = text or ""
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        seen = {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        repeated = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        lines = [(re.sub("[\x20\x09-\x0d]+", " ", x.lower()).strip(" "), x) for x in text.split("\n")]
+        held.append((d, text, host, failed, lines))
+        hosts.setdefault(host, set()).add(text)
+        for norm, raw in lines:
+            if re.search("[^\x20\x09-\x0d]", raw):
+                by_line.setdefault((host, norm), []).append((d, text, failed))
+    above = {}
+    for (host, norm), docs in by_line.items():
+        n = len({t for _, t, _ in docs})
+        if n > 20 and n > 0.05 * len(hosts[host]):
+            above[host, norm] = min((d for d, _, f in docs if not f), default=min(d for d, _, _ in docs))
+    out = []
+    for d, text, host, failed, lines in held:
+        real = [(n, x) for n, x in lines if re.search("[^\x20\x09-\x0d]", x)]
+        gone = {n for n, _ in real if above.get((host, n), d) != d}
+        total = sum(len(x) for _, x in real)
+        removed = sum(len(x) for n, x in real if n in gone)
+        if not failed and not total - removed < 0.5 * total:
+            out.append((d, "\n".join(x for n, x in lines if n not in gone or not re.search("[^\x20\x09-\x0d]", x)) if gone else text))
+    return out
+
+
+def test_first_stages_match_plain_versions(spark):
+    from strandlake.llm import language_id
+    from tests.llm.test_quality_and_language import plain_fusion
+
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents")
+    # Lines that are frequent in one host, so that some go.
+    docs = docs.withColumn("text", F.when(F.col("source") == "src0", F.concat(F.lit("Qzx this page\n"), "text", F.lit("\n  qzx THIS\tpage"))).otherwise(F.col("text")))
+    labelled = docs.select(F.col("lang").alias("label"), "text")
+    models = language_id.fit(labelled, half=1), language_id.fit(labelled, half=0)
+    scored = language_id.scores(docs, models, "lang", "source").collect()
+    known = {i for i, name, share in plain_fusion(scored) if name != "und" and share >= language_id.MIN_POSTERIOR}
+    first = language_id.keep_known(docs)
+    rows = first.collect()
+    assert {r.doc_id for r in rows} == known
+    want = plain_quality([(r.doc_id, r.text, r.source) for r in rows])
+    got = [(r.doc_id, r.text) for r in quality_rules.keep_good(first).collect()]
+    assert sorted(got) == sorted(want) and sum("Qzx this page" in (t or "") for _, t in want) == 1
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty, long and repeated rows, one doc_id for two texts, columns with clashing names, and no rows at all."""
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    some = docs.filter("lang = 'en' AND n_chars > 2000").orderBy("doc_id").limit(3)
+    odd = spark.createDataFrame([(None, None, None, None, None), (5000, "", "en", "src0", 0), (5001, None, "en", None, 0), (None, "  \n", "xx", "src1", 4), (5002, "a b c", "en", "src1", 5)], docs.schema)
+    nameless = some.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" one more")))
+    long = some.limit(1).withColumn("doc_id", F.lit(7000).cast("long")).withColumn("text", F.concat_ws(" ", *[F.col("text")] * 200))
+    other = some.limit(1).withColumn("text", F.reverse("text"))
+    rows = docs.unionByName(odd).unionByName(nameless).unionByName(some).unionByName(long).unionByName(other)
+    for c in ("host", "component", "_gone", "row_id", "begin", "key"):
+        rows = rows.withColumn(c, F.lit("x"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    step = held
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path)).cache()
+        assert step.columns == held.columns, name
+        assert not {5000, 5001, 5002, 7000} & {r.doc_id for r in step.select("doc_id").collect()} or name == "language ID"
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [(r.doc_id, r.text) for r in step.collect()]
+    assert len({r.doc_id for r in result}) == len({i for i, _ in left}) > 50
+    assert sum(r.length for r in result) == sum(r.doc_tokens for r in result if r.start == 0)
+    held.filter(F.lit(False)).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
