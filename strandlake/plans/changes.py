@@ -303,3 +303,47 @@ def _(spark, d):
 @query("e10_branch_events", f"WITH {BR} SELECT 'branch_created' AS type, id AS branch, name, (SELECT name FROM b p WHERE p.id = b.parent) AS parent_name FROM b UNION ALL SELECT 'branch_deleted', id, name, NULL FROM b WHERE deleted")
 def _(spark, d):
     return subs.branch_events(m.branches(spark, d), subs.Subscription(include_branch_events=True)).select("type", "branch", "name", "parent_name")
+
+
+# Points that move with the table: half of the log
+
+
+def _half(spark, d) -> int:
+    return (m.events(spark, d).agg(F.max("event_id")).first()[0] or 0) // 2
+
+
+HALF = "(SELECT max(event_id) // 2 FROM events)"
+
+
+@query("t5_as_of_half", f"SELECT user_id, arg_max(props, event_id) AS value, max(event_id) + 1 AS sequence FROM events WHERE event_id + 1 <= {HALF} GROUP BY user_id")
+def _(spark, d):
+    return states.latest(m.slot_ops(spark, d), ["user_id"], _half(spark, d))
+
+
+@query("t5_items_as_of_half", f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CAST(event_id + 1 AS VARCHAR) AS item FROM events WHERE event_type NOT IN ('purchase', 'error') AND event_id + 1 <= {HALF}")
+def _(spark, d):
+    return states.log_items(m.edited_ops(spark, d).filter("op = 'Append'").drop("idx", "idx_end"), ["user_id"], _half(spark, d)).select("user_id", "pos", "item")
+
+
+@query("t17_chain_info_at_half", f"SELECT user_id, count(*) AS n_ops, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS n_appends, min(event_id) + 1 AS first_sequence, max(event_id) + 1 AS last_sequence FROM events WHERE event_id + 1 <= {HALF} GROUP BY user_id")
+def _(spark, d):
+    return states.chain_report(m.edited_ops(spark, d).filter(F.col("sequence") <= _half(spark, d)), ["user_id"])
+
+
+@query("b18_visible_at_half", f"WITH RECURSIVE {LINES} SELECT u.branch AS viewer, state_id, count(*) AS n_ops, arg_max(value, sequence) AS value FROM up u JOIN o ON o.branch = u.ancestor AND o.sequence <= least(u.cap, {HALF}) GROUP BY ALL")
+def _(spark, d):
+    return br.visible_latest(m.branch_ops(spark, d), br.lineage(m.branches(spark, d)), _half(spark, d))
+
+
+@query("w3_kept_links", f"WITH {R} SELECT id, CASE WHEN id % 2 = 0 THEN id || ',' || user_id ELSE CAST(user_id AS VARCHAR) END AS kept FROM r")
+def _(spark, d):
+    ids = F.array(F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("1x"), F.lit(None).cast("string"), F.col("user_id").cast("string"), F.lit(""))
+    return m.records(spark, d).select("id", F.array_join(rec.keep_ids(ids), ",").alias("kept"))
+
+
+@query("g1_path_rules", r"WITH p AS (SELECT page_id, url AS path FROM pages UNION ALL SELECT -1 - page_id, regexp_replace(url, '^https?://[^/]*', '') FROM pages UNION ALL SELECT 1000000000 + page_id, regexp_replace(url, '^https?:/', '..') FROM pages) SELECT page_id, path <> '' AND NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\.\.?(/|$)') AS valid FROM p")
+def _(spark, d):
+    pages = m.table(spark, d, "pages")
+    rest = pages.select((-1 - F.col("page_id")).alias("page_id"), F.regexp_replace("url", "^https?://[^/]*", "").alias("path"))
+    up = pages.select((1000000000 + F.col("page_id")).alias("page_id"), F.regexp_replace("url", "^https?:/", "..").alias("path"))
+    return pages.select("page_id", F.col("url").alias("path")).unionByName(rest).unionByName(up).select("page_id", trees.valid_path("path").alias("valid"))
