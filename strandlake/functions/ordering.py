@@ -32,11 +32,10 @@ def positioned(df: DataFrame, keys: list[str], order: str, name: str, parts: int
     return local.join(before, [*keys, "_range"]).withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_before")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, backwards: bool = False, parts: int | None = None) -> DataFrame:
-    """Adds `name`, the sum of `value` up to and with the row within `keys` by the number column `order` (from the end if
-    backwards). As in `positioned`, no key's rows lie in one window: they are dealt by ranges of `order`."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_range", range_of(F.col(order), range_points(df, order, parts)))
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, backwards: bool = False, bits: int = 14) -> DataFrame:
+    """Adds `name`, the sum of `value` up to and with the row within `keys` by `order`, dense positions or sequences (from
+    the end if backwards). No key's rows lie in one window: they are dealt by ranges of 2 to the power `bits` positions."""
+    ranged = df.withColumn("_range", F.shiftright(order, bits))
     by = F.desc if backwards else F.asc
     whole = Window.partitionBy(*keys).orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(whole), F.lit(0))).drop("_sum")

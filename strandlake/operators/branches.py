@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.ordering import range_of, range_points
-
 NO_CAP = (1 << 63) - 1
 
 
@@ -120,30 +118,29 @@ def reparented(branches: DataFrame, gone: DataFrame, to: int | None = None) -> D
     return joined.withColumn("parent", F.when(away, F.lit(to).cast("bigint")).otherwise(F.col("parent"))).select(*branches.columns)
 
 
+#: Sequences of a branch to a range, as a power of two: what one window over a range can hold.
+RANGE_BITS = 14
+
+
 def visible_latest(ops: DataFrame, lines: DataFrame, at: int | None = None) -> DataFrame:
     """(viewer, state_id, n_ops, value): of each state that a branch sees, the operations and the last value. Operations
-    don't go to each branch that sees them: the caps at which a branch is seen are few, so counts and last values are
-    found once for each branch, state and cap, by sums over ranges of the sequence and then inside one range, and
-    lineages join these."""
+    don't go to each branch that sees them: the lines' caps lie among them in the order of sequence, and each finds how
+    many operations come before it and the last one: inside its range of the sequence first, then over the ranges before."""
     if at is not None:
         ops = ops.filter(F.col("sequence") <= at)
         lines = lines.withColumn("cap", F.least("cap", F.lit(at).cast("bigint")))
-    points = range_points(ops, "sequence", int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = ["branch", "state_id"]
-    own = ops.select(*key, "sequence", "value", range_of(F.col("sequence"), points).alias("r"))
-    sums = own.groupBy(*key, "r").agg(F.count("*").alias("n"), F.max_by(F.struct("value", "sequence"), "sequence").alias("last"))
-    before = Window.partitionBy(*key).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    until = sums.select(*key, "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.last("last", ignorenulls=True).over(before).alias("last_before"), (F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))).alias("n_all"), F.last("last").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("last_all"))
-    caps = lines.select(F.col("ancestor").alias("branch"), "cap").distinct().withColumn("r", range_of(F.col("cap"), points))
-    # For each cap and state the last range at or before the cap's that the state has operations in: both in one order.
-    marks = caps.join(until.select(*key).distinct(), "branch").select(*key, "r", "cap", F.lit(1).alias("kind"))
-    both = marks.unionByName(until.select(*key, "r", F.lit(0).alias("kind"), F.struct(F.col("r").alias("r_ops"), "n_before", "last_before", "n_all", "last_all").alias("found")), allowMissingColumns=True)
-    so_far = Window.partitionBy(*key).orderBy("r", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    nearest = both.withColumn("u", F.last("found", ignorenulls=True).over(so_far)).filter((F.col("kind") == 1) & F.col("u").isNotNull()).select(*key, "cap", "r", "u.*")
-    whole = nearest.filter(F.col("r_ops") < F.col("r")).select(*key, "cap", F.col("n_all").alias("n"), F.col("last_all").alias("last"))
-    inside = nearest.filter(F.col("r_ops") == F.col("r")).join(own.select(*key, "r", "sequence", "value"), [*key, "r"], "left").filter(F.col("sequence") <= F.col("cap"))
-    within = inside.groupBy(*key, "cap").agg(F.count("*").alias("k"), F.max_by(F.struct("value", "sequence"), "sequence").alias("own_last"))
-    part = nearest.filter(F.col("r_ops") == F.col("r")).join(within, [*key, "cap"], "left").select(*key, "cap", (F.col("n_before") + F.coalesce("k", F.lit(0))).alias("n"), F.coalesce("own_last", "last_before").alias("last")).filter("n > 0")
-    at_cap = whole.unionByName(part).withColumnRenamed("branch", "ancestor")
-    seen = lines.select(F.col("branch").alias("viewer"), "ancestor", "cap").join(at_cap, ["ancestor", "cap"])
+    key = ["source", "state_id"]
+    own = ops.select(F.col("branch").alias("source"), "state_id", "sequence", F.struct("value", "sequence").alias("o"))
+    caps = lines.select(F.col("branch").alias("viewer"), F.col("ancestor").alias("source"), F.col("cap").alias("sequence")).join(own.select(*key).distinct(), "source")
+    rows = own.unionByName(caps, allowMissingColumns=True).withColumn("r", F.shiftright("sequence", RANGE_BITS))
+    # A cap comes after the operation of its sequence.
+    inside = Window.partitionBy(*key, "r").orderBy("sequence", F.col("viewer").asc_nulls_first())
+    local = rows.select(
+        "viewer", *key, "r", "sequence", F.count("o").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("k"),
+        F.last("o", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("last"), F.lead(F.lit(1)).over(inside).isNull().alias("ends"))
+    before = Window.partitionBy(*key).orderBy("r", "sequence", F.col("viewer").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    few = local.filter(F.col("viewer").isNotNull() | F.col("ends"))
+    n = F.col("k") + F.coalesce(F.sum(F.when(F.col("ends"), F.col("k"))).over(before), F.lit(0))
+    last = F.coalesce("last", F.last(F.when(F.col("ends"), F.col("last")), ignorenulls=True).over(before))
+    seen = few.select("viewer", "state_id", n.alias("n"), last.alias("last")).filter(F.col("viewer").isNotNull() & (F.col("n") > 0))
     return seen.groupBy("viewer", "state_id").agg(F.sum("n").alias("n_ops"), F.max_by("last.value", "last.sequence").alias("value"))
