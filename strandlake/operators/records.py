@@ -36,6 +36,12 @@ def scan_from(records: DataFrame, record_id: int) -> DataFrame:
     return records.filter(F.col("id") >= record_id).orderBy("id")
 
 
+def scan_from_sequence(records: DataFrame, branch: int, sequence: int) -> DataFrame:
+    """All branches in append order, from the record that a branch has at a sequence; from the start if it has none."""
+    first = records.filter((F.col("branch") == branch) & (F.col("sequence") == sequence)).agg(F.coalesce(F.min("id"), F.lit(0)).alias("_first"))
+    return records.join(F.broadcast(first), F.lit(True)).filter(F.col("id") >= F.col("_first")).drop("_first").orderBy("id")
+
+
 def point(records: DataFrame, branch: int, sequence: int) -> DataFrame:
     return records.filter((F.col("branch") == branch) & (F.col("sequence") == sequence))
 

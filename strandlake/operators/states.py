@@ -166,3 +166,9 @@ def poison_verdicts(ops: DataFrame, keys: list[str], read: DataFrame, replayed:
     covered = F.greatest(F.coalesce("_delta", none), F.coalesce("_full", none))
     verdict = F.when(~F.col("_read").eqNullSafe(F.col("_raw")), "poisoned").when((F.col("_full") > F.col("_delta")) & (F.col("_first") < F.col("_delta")), "healed").when(F.coalesce("_change", none) > covered, "open").otherwise("clean")
     return both.select(*keys, verdict.alias("verdict"))
+
+
+def json_values(values: DataFrame, at: str, kind: str) -> DataFrame:
+    """Whole values (column value) as JSON: `parsed` has what a path holds, `ok` tells whether the value is JSON at all."""
+    v = F.try_parse_json("value")
+    return values.select(*[c for c in values.columns if c != "value"], F.try_variant_get(v, at, kind).alias("parsed"), v.isNotNull().alias("ok"))

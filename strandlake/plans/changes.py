@@ -347,3 +347,25 @@ def _(spark, d):
     rest = pages.select((-1 - F.col("page_id")).alias("page_id"), F.regexp_replace("url", "^https?://[^/]*", "").alias("path"))
     up = pages.select((1000000000 + F.col("page_id")).alias("page_id"), F.regexp_replace("url", "^https?:/", "..").alias("path"))
     return pages.select("page_id", F.col("url").alias("path")).unionByName(rest).unionByName(up).select("page_id", trees.valid_path("path").alias("valid"))
+
+
+@query("r5_scan_from_sequence", f"SELECT event_id + 1 AS id, 1 + user_id AS branch, event_type AS record_type FROM events WHERE event_id >= coalesce((SELECT event_id FROM events WHERE user_id = 4 AND event_id + 1 = {HALF}), 0)")
+def _(spark, d):
+    """From what branch 5 has at half of the log, else from the start."""
+    rows = m.records(spark, d).withColumn("branch", 1 + F.col("user_id"))
+    return rec.scan_from_sequence(rows, 5, _half(spark, d)).select("id", "branch", "record_type")
+
+
+@query("s5_bounded_lengths", f"WITH {LOGS} SELECT log, 0 AS valid_records, 0 AS truncated_at, CAST(sum(size) AS BIGINT) AS dropped_bytes FROM l GROUP BY log")
+def _(spark, d):
+    """The first record of each log says that its payload is four gigabytes long: nothing is read or kept for it."""
+    at = 42 + F.conv(F.hex(F.expr("reverse(substring(content, 39, 2))")), 16, 10).cast("int")
+    content = F.overlay("content", F.unhex(F.lit("F0FFFFFF")), at)
+    found = rec.torn_tail(log_format.parsed_logs(m.logs(spark, d).withColumn("content", content)))
+    return found.select(F.col("path").cast("bigint").alias("log"), "valid_records", "truncated_at", "dropped_bytes")
+
+
+@query("t12_json_values", "SELECT user_id, CASE WHEN user_id % 5 > 0 THEN CAST(json_extract_string(arg_max(props, event_id), '$.k') AS BIGINT) END AS parsed, user_id % 5 > 0 AS ok FROM events GROUP BY user_id")
+def _(spark, d):
+    values = states.latest(m.slot_ops(spark, d), ["user_id"]).drop("sequence")
+    return states.json_values(values.withColumn("value", F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("{"), "value")).otherwise(F.col("value"))), "$.k", "bigint")

@@ -71,3 +71,9 @@ def test_a_snapshot_and_later_operations_make_the_tree(spark):
     for at in (1, 20, 59):
         later = trees.snapshots(ops, ["k"], at).unionByName(ops.filter(F.col("sequence") > at))
         assert sorted(map(str, trees.tree(later, ["k"]).collect())) == whole
+
+
+def test_a_scan_from_a_sequence_that_is_not_there_begins_at_the_start(spark):
+    df = spark.createDataFrame([(i, 1 + i % 2, i // 2) for i in range(1, 20)], "id long, branch long, sequence long")
+    assert [r.id for r in rec.scan_from_sequence(df, 1, 4).collect()] == list(range(8, 20))
+    assert [r.id for r in rec.scan_from_sequence(df, 1, 400).collect()] == list(range(1, 20))
