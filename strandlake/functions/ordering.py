@@ -21,6 +21,16 @@ def range_of(value: Column, points: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
 
 
+def _with_before(local: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """local with `_before` of its keys (null ones too) and range. The sums' columns get names of their own: Spark 4.1
+    otherwise pushes a filter on the result into them in a form that it can't run."""
+    own = before.select(*[F.col(k).alias(f"_own_{k}") for k in keys], F.col("_range").alias("_own_range"), "_before")
+    same = F.col("_range") == F.col("_own_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_own_{k}"))
+    return local.join(own, same).drop("_own_range", *[f"_own_{k}" for k in keys])
+
+
 def positioned(df: DataFrame, keys: list[str], order: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds `name`, the row's position from 1 within `keys` by the number column `order`. A key with any share of
     the rows is spread over ranges of `order`; a range's offset is the sum of the key's counts in the ranges before."""
@@ -29,7 +39,7 @@ def positioned(df: DataFrame, keys: list[str], order: str, name: str, parts: int
     counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)))
-    return local.join(before, [*keys, "_range"]).withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_before")
+    return _with_before(local, before, keys).withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_before")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, backwards: bool = False, bits: int = 14) -> DataFrame:
@@ -40,4 +50,4 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: st
     whole = Window.partitionBy(*keys).orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(whole), F.lit(0))).drop("_sum")
     local = ranged.withColumn("_local", F.sum(value).over(Window.partitionBy(*keys, "_range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)))
-    return local.join(before, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
+    return _with_before(local, before, keys).withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")

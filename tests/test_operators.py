@@ -77,3 +77,13 @@ def test_a_scan_from_a_sequence_that_is_not_there_begins_at_the_start(spark):
     df = spark.createDataFrame([(i, 1 + i % 2, i // 2) for i in range(1, 20)], "id long, branch long, sequence long")
     assert [r.id for r in rec.scan_from_sequence(df, 1, 4).collect()] == list(range(8, 20))
     assert [r.id for r in rec.scan_from_sequence(df, 1, 400).collect()] == list(range(1, 20))
+
+
+def test_positions_can_be_filtered_and_keys_may_be_null(spark):
+    rows = [(i, "ab"[i % 2] if i % 5 else None) for i in range(100)]
+    found = ordering.positioned(spark.createDataFrame(rows, "id long, k string"), ["k"], "id", "at")
+    want = {}
+    for i, k in rows:
+        want.setdefault(k, []).append(i)
+    assert {(r.id, r.at) for r in found.collect()} == {(i, n + 1) for ids in want.values() for n, i in enumerate(ids)}
+    assert [r.id for r in found.filter("k = 'a' AND at = 3").agg(F.min("id").alias("id")).collect()] == [want["a"][2]]
