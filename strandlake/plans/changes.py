@@ -369,3 +369,10 @@ def _(spark, d):
 def _(spark, d):
     values = states.latest(m.slot_ops(spark, d), ["user_id"]).drop("sequence")
     return states.json_values(values.withColumn("value", F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("{"), "value")).otherwise(F.col("value"))), "$.k", "bigint")
+
+
+@query("e1_stream_states", "SELECT 'record' AS type, event_type AS name, count(*) AS n, CAST(sum(event_id + 1) AS BIGINT) AS ids FROM events WHERE event_type = 'view' GROUP BY event_type UNION ALL SELECT 'state_delta', event_type, count(*), CAST(sum(event_id + 1) AS BIGINT) FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type")
+def _(spark, d):
+    config = subs.Subscription(include_records=True, record_types=("view",), include_state_changes=True, state_ids=("click", "error"))
+    found = subs.streamed(spark, d, config)
+    return found.groupBy("type", F.coalesce("state_id", "record_type").alias("name")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))

@@ -98,13 +98,15 @@ def catch_up(records: DataFrame, config: Subscription, branch: int, ops: DataFra
 
 
 def streamed(spark: SparkSession, sf_dir: str, config: Subscription) -> DataFrame:
-    """The events table as a stream of files through the filter, run until all that is there now is processed."""
+    """The events table as a stream of files (each event a record, and a value that its type's state is set to) through
+    the filter, run until all that is there now is processed."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if not _is_file(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parque[t]")
     at = (F.col("event_id") + 1).alias
     records = rows.select(at("id"), F.lit(1).cast("bigint").alias("branch"), at("sequence"), F.col("event_type").alias("record_type"), F.col("props").cast("binary").alias("payload"))
     root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandlake-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    events = record_events(records, config)
+    ops = rows.select(at("record_id"), F.lit(1).cast("bigint").alias("branch"), at("sequence"), F.col("event_type").alias("state_id"), F.lit("Set").alias("op"), F.col("props").alias("value"), F.lit(False).alias("derived"))
+    events = live(records, config, ops if config.include_state_changes else None)
     query = events.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{root}/rows")
