@@ -4,7 +4,7 @@ Large-star joins each node's larger neighbours to its least neighbour (itself in
 its smaller neighbours and itself to the least of them. Both keep components whole, and the edges end
 as stars about each component's least node. A node's least neighbour is a grouped minimum (combined
 before the shuffle) and is joined back. Nodes with many edges are few by the number of edges alone (at most
-MOST_HEAVY): they are joined by broadcast, so a node with any number of edges never lies in one task. Each
+MOST_HEAVY): they are joined by broadcast, so no task holds a node with more edges than HEAVY allows. Each
 round is written to the shared folder, which cuts the lineage.
 """
 
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 
-#: Bound of the nodes that count as heavy, and the least number of edges that makes a node so.
-MOST_HEAVY, HEAVY = 20_000, 1000
+#: Bound of the nodes that count as heavy, and the least number of edges that makes a node so: fewer are nothing for a task.
+MOST_HEAVY, HEAVY = 20_000, 500_000
 
 
 def _with_least(sides: DataFrame, n_edges: int) -> DataFrame:
