@@ -4,16 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..errors import InvalidOperation
+from ..shared import written
+
 NO_CAP = (1 << 63) - 1
 
 
+#: Rows of a table of jumps from which on it is not broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _jumps(branches: DataFrame) -> list[DataFrame]:
+    """Tables (branch, ancestor, cap) of the state ancestors 1, 2, 4, ... steps away, as far as there are any; each is
+    joined with itself into the next and written to the shared folder."""
+    steps = branches.filter(F.col("state_parent").isNotNull() & F.col("inherits_state") & F.col("id").isNotNull())
+    found, jump, most = [], steps.select(F.col("id").alias("branch"), F.col("state_parent").cast(branches.schema["id"].dataType).alias("ancestor"), F.col("branch_point").cast("bigint").alias("cap")), None
+    while True:
+        jump = written(jump, "jumps")
+        n = jump.count()
+        most = n if most is None else most
+        if not n:
+            return found
+        if 1 << len(found) > most:
+            # So many steps need more branches than there are.
+            raise InvalidOperation("branches inherit their state in a circle")
+        held = jump.select(F.col("branch").alias("_from"), F.col("ancestor").alias("_to"), F.col("cap").alias("_at"))
+        found.append(held.hint("merge") if n > BROADCAST_ROWS else held)
+        jump = jump.join(found[-1], F.col("ancestor") == F.col("_from")).select("branch", F.col("_to").alias("ancestor"), F.least("cap", "_at").alias("cap"))
+
+
 def lineage(branches: DataFrame) -> DataFrame:
     """(branch, ancestor, cap, depth): a branch sees itself without a cap and each state ancestor up to the least
     branch point on the way. The parent at creation counts, so deleting or moving branches later changes nothing;
-    a branch that inherits no state sees itself alone."""
+    a branch that inherits no state sees itself alone. Each depth is one sum of falling powers of two: from each branch,
+    lines jump so far, or stay, with the longest jumps first. A circle is an error."""
+    lines = branches.select(F.col("id").alias("branch"), F.col("id").alias("ancestor"), F.lit(NO_CAP).cast("bigint").alias("cap"), F.lit(0).alias("depth"))
+    jumps = _jumps(branches)
+    for k, jump in reversed(list(enumerate(jumps))):
+        lists = jump.groupBy("_from").agg(F.collect_list(F.struct("_to", "_at")).alias("_jumps"))
+        further = F.transform("_jumps", lambda j: F.struct(j["_to"].alias("ancestor"), F.least("cap", j["_at"]).alias("cap"), (F.col("depth") + (1 << k)).alias("depth")))
+        stay = F.array(F.struct("ancestor", "cap", "depth"))
+        joined = lines.join(lists, F.col("ancestor") == F.col("_from"), "left")
+        lines = joined.select("branch", F.explode(F.when(F.col("_from").isNull(), stay).otherwise(F.concat(stay, further))).alias("l")).select("branch", "l.*")
+    return lines
+
+
+def lineage_of(branches: DataFrame, branch: int) -> DataFrame:
+    """lineage's rows of one branch: few enough for a recursive query."""
     return branches.sparkSession.sql(f"""
         WITH RECURSIVE up(branch, ancestor, cap, depth) MAX RECURSION LEVEL 10000 AS (
-          SELECT id, id, CAST({NO_CAP} AS BIGINT), 0 FROM {{table}}
+          SELECT id, id, CAST({NO_CAP} AS BIGINT), 0 FROM {{table}} WHERE id = {int(branch)}
           UNION ALL
           SELECT u.branch, b.state_parent, least(u.cap, b.branch_point), u.depth + 1
           FROM up u JOIN {{table}} b ON u.ancestor = b.id WHERE b.state_parent IS NOT NULL AND b.inherits_state)

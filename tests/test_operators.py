@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from strandlake import errors
 from strandlake.functions import ordering
 from strandlake.operators import branches as br, records as rec, states, trees
 
@@ -34,6 +36,31 @@ def test_visible_latest_over_many_ranges(spark, monkeypatch):
     assert br.visible_latest(df.filter(F.lit(False)), br.lineage(branches)).collect() == []
 
 
+BRANCH = "id long, name string, parent long, branch_point long, state_parent long, inherits_state boolean, deleted boolean"
+
+
+def test_lineage_of_more_than_a_million_rows(spark, monkeypatch):
+    """Also with jumps that are not broadcast; a parent that isn't there is the last ancestor."""
+    monkeypatch.setattr(br, "BROADCAST_ROWS", 1000)
+    n = 1600
+    table = [(i, f"b{i}", i - 1, 5 * n - 3 * i, i - 1, i != 7, i == 9) for i in range(1, n + 1)]
+    branches = spark.createDataFrame(table, BRANCH)
+    found = br.lineage(branches)
+    assert found.columns == ["branch", "ancestor", "cap", "depth"]
+    got = found.agg(F.count("*").alias("n"), F.sum("depth").alias("d"), F.count_if(F.col("ancestor") != F.col("branch") - F.col("depth")).alias("wrong"), F.count_if((F.col("depth") > 0) & (F.col("cap") != 5 * n - 3 * F.col("branch"))).alias("caps")).first()
+    steps = [i if i < 7 else i - 7 for i in range(1, n + 1)]
+    assert tuple(got) == (sum(k + 1 for k in steps), sum(k * (k + 1) // 2 for k in steps), 0, 0) and got.n > 1_000_000
+    few = {tuple(r) for r in br.lineage(branches.filter("id < 20")).collect()}
+    assert few == {tuple(r) for i in range(1, 20) for r in br.lineage_of(branches.filter("id < 20"), i).collect()}
+    assert sorted(tuple(r) for r in br.ancestry(branches.filter("id < 12")).collect()) == sorted((i, j, i - j) for i in range(1, 12) for j in range(1, i + 1) if i != 9 != j and (i < 9 or j > 9))
+
+
+def test_a_circle_of_branches_is_an_error(spark):
+    branches = spark.createDataFrame([(1, "a", None, 0, None, True, False), (2, "b", 4, 1, 4, True, False), (3, "c", 2, 2, 2, True, False), (4, "d", 3, 3, 3, True, False)], BRANCH)
+    with pytest.raises(errors.InvalidOperation):
+        br.lineage(branches)
+
+
 def test_running_sums_over_many_ranges(spark):
     rng = random.Random(2)
     rows = [(k, i, rng.randrange(9)) for k in "ab" for i in range(200)]
