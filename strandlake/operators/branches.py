@@ -171,7 +171,9 @@ def visible_latest(ops: DataFrame, lines: DataFrame, at: int | None = None) -> D
         lines = lines.withColumn("cap", F.least("cap", F.lit(at).cast("bigint")))
     key = ["source", "state_id"]
     own = ops.select(F.col("branch").alias("source"), "state_id", "sequence", F.struct("value", "sequence").alias("o"))
-    caps = lines.select(F.col("branch").alias("viewer"), F.col("ancestor").alias("source"), F.col("cap").alias("sequence")).join(own.select(*key).distinct(), "source")
+    # Caps before a state's first operation see none of it.
+    begins = own.groupBy(*key).agg(F.min("sequence").alias("_first"))
+    caps = lines.select(F.col("branch").alias("viewer"), F.col("ancestor").alias("source"), F.col("cap").alias("sequence")).join(begins, "source").filter(F.col("sequence") >= F.col("_first")).drop("_first")
     rows = own.unionByName(caps, allowMissingColumns=True).withColumn("r", F.shiftright("sequence", RANGE_BITS))
     # A cap comes after the operation of its sequence.
     inside = Window.partitionBy(*key, "r").orderBy("sequence", F.col("viewer").asc_nulls_first())
