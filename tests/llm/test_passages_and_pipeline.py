@@ -188,6 +188,59 @@ def test_passages_of_frequent_lines(spark):
     assert all(r.n_links == 0 for d, r in got.items() if d < 1000)
 
 
+def test_all_pairs_of_near_passages_are_linked(spark, monkeypatch):
+    """Each of 60 documents holds a passage with a word of its own changed, so each two are near (0.84), not equal."""
+    rng = random.Random(31)
+    passage = words(rng, 120)
+    rows = []
+    for i in range(60):
+        own = list(passage)
+        own[30 + i] = f"e{i}"
+        rows.append((i, " ".join(words(rng, 40) + own + words(rng, 40))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (compact_windows.BLOCK, 16):
+        monkeypatch.setattr(compact_windows, "BLOCK", block)
+        got = compact_windows.op4_compact_windows(df).collect()
+        assert sum(r.n_links for r in got) >= 0.99 * 60 * 59 and {r.component_id for r in got} == {0}
+
+
+def test_passages_about_a_frequent_line_leave_the_pipeline(spark):
+    """Pairs of near passages about a line that many documents hold before them: the later one goes, whatever stands first."""
+    rng = random.Random(32)
+    line = words(rng, 30)
+    rows = [(i, " ".join(words(rng, 40) + line + words(rng, 40))) for i in range(300)]
+    for k in range(150):
+        p = words(rng, 15) + line + words(rng, 15)
+        for j, q in enumerate((p, [*p[:-3], "x", *p[-2:]])):
+            rows.append((1000 + 1000 * j + k, " ".join(words(rng, 40) + q + words(rng, 40))))
+    kept = {r.doc_id: r.text.split() for r in compact_windows.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(kept[i]) == 110 for i in range(300)) and all(len(kept[1000 + k]) == 140 for k in range(150))
+    gone = [140 - len(kept[2000 + k]) >= 50 for k in range(150)]
+    assert sum(gone) >= 149
+
+
+def counted(sets, need):
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= max(need[i], need[j])}
+
+
+def test_windows_in_common_are_all_counted(monkeypatch):
+    """Small and large groups, rare and frequent shingles, and groups of two blocks, against plain sets."""
+    rng = random.Random(33)
+    monkeypatch.setattr(compact_windows, "SMALL", 8)
+    monkeypatch.setattr(compact_windows, "RARE", 6)
+    group, block, sets = [], [], []
+    for g, (m, two) in enumerate([(2, False), (8, False), (40, False), (30, True), (3, False), (1, False)]):
+        group += [g] * m
+        block += [2 if two and i >= 20 else 1 for i in range(m)]
+        sets += [set(rng.sample(range(5), 3)) | set(rng.sample(range(5, 60), 12)) for _ in range(m)]
+    need = np.array([rng.randrange(2, 8) for _ in sets])
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    code = np.array([c for x in sets for c in sorted(x)])
+    got = [(i, j) for a, b in compact_windows.alike(np.array(group), np.array(block), row, code, need) for i, j in zip(a.tolist(), b.tolist())]
+    want = {(i, j) for i, j in counted(sets, need) if group[i] == group[j] and (group[i] != 3 or block[i] != block[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_passages_of_rows_without_an_id_of_their_own(spark):
     rng = random.Random(23)
     p, a, b = words(rng, 70), words(rng, 100), words(rng, 90)
