@@ -9,6 +9,8 @@ from ..shared import written
 
 NO_CAP = (1 << 63) - 1
 
+# Tables with a row for each branch look small on disk, by which Spark would broadcast them, but as hash tables they don't
+# fit a small driver: their joins are hinted to sort and merge.
 
 #: Rows of a table of jumps from which on it is not broadcast.
 BROADCAST_ROWS = 100_000
@@ -64,7 +66,7 @@ def visible(ops: DataFrame, lines: DataFrame, at: int | None = None) -> DataFram
     """Operations that each branch sees: columns of `ops`, whose branch becomes `source`, and `viewer`. An equi-join
     on the ancestor; the cap only filters."""
     cap = F.col("cap") if at is None else F.least(F.col("cap"), F.lit(at).cast("bigint"))
-    seen = ops.withColumnRenamed("branch", "source").join(lines.select(F.col("branch").alias("viewer"), "ancestor", "cap"), F.col("source") == F.col("ancestor"))
+    seen = ops.withColumnRenamed("branch", "source").join(lines.select(F.col("branch").alias("viewer"), "ancestor", "cap").hint("merge"), F.col("source") == F.col("ancestor"))
     return seen.filter(F.col("sequence") <= cap).drop("ancestor", "cap")
 
 
@@ -72,7 +74,7 @@ def ancestry(branches: DataFrame) -> DataFrame:
     """(branch, ancestor, depth) from each live branch up to the root or to a deleted parent."""
     live = branches.filter(~F.col("deleted"))
     found = live.select("id", F.col("parent").alias("state_parent"), F.lit(NO_CAP).alias("branch_point"), F.lit(True).alias("inherits_state"))
-    known = live.select(F.col("id").alias("ancestor"))
+    known = live.select(F.col("id").alias("ancestor")).hint("merge")
     return lineage(found).join(known, "ancestor", "left_semi").select("branch", "ancestor", "depth")
 
 
@@ -128,7 +130,7 @@ def listed(branches: DataFrame) -> DataFrame:
 def fork(heads: DataFrame, requests: DataFrame) -> DataFrame:
     """Forks asked for (name, parent, at; at null: the parent's head): their branch points, and whether they may be made,
     that is, the parent is there and reaches so far. heads: branches with a column head."""
-    known = heads.filter(~F.col("deleted")).select(F.col("id").alias("parent"), "head")
+    known = heads.filter(~F.col("deleted")).select(F.col("id").alias("parent"), "head").hint("merge")
     joined = requests.join(known, "parent", "left")
     point = F.coalesce("at", "head")
     return joined.select("name", "parent", point.alias("branch_point"), F.coalesce(point <= F.col("head"), F.lit(False)).alias("ok"))
@@ -137,7 +139,7 @@ def fork(heads: DataFrame, requests: DataFrame) -> DataFrame:
 def fork_lineage(lines: DataFrame, forks: DataFrame) -> DataFrame:
     """(branch, ancestor, cap) of new forks (branch, parent, branch_point, inherits_state): what the parent sees up to the
     branch point, and the fork's own operations."""
-    seen = forks.filter("inherits_state").select(F.col("branch").alias("_new"), "parent", "branch_point").join(lines.withColumnRenamed("branch", "parent"), "parent")
+    seen = forks.filter("inherits_state").select(F.col("branch").alias("_new"), "parent", "branch_point").join(lines.withColumnRenamed("branch", "parent").hint("merge"), "parent")
     own = forks.select("branch", F.col("branch").alias("ancestor"), F.lit(NO_CAP).alias("cap"))
     return seen.select(F.col("_new").alias("branch"), "ancestor", F.least("cap", "branch_point").alias("cap")).unionByName(own)
 
@@ -173,7 +175,7 @@ def visible_latest(ops: DataFrame, lines: DataFrame, at: int | None = None) -> D
     own = ops.select(F.col("branch").alias("source"), "state_id", "sequence", F.struct("value", "sequence").alias("o"))
     # Caps before a state's first operation see none of it.
     begins = own.groupBy(*key).agg(F.min("sequence").alias("_first"))
-    caps = lines.select(F.col("branch").alias("viewer"), F.col("ancestor").alias("source"), F.col("cap").alias("sequence")).join(begins, "source").filter(F.col("sequence") >= F.col("_first")).drop("_first")
+    caps = lines.select(F.col("branch").alias("viewer"), F.col("ancestor").alias("source"), F.col("cap").alias("sequence")).join(begins.hint("merge"), "source").filter(F.col("sequence") >= F.col("_first")).drop("_first")
     rows = own.unionByName(caps, allowMissingColumns=True).withColumn("r", F.shiftright("sequence", RANGE_BITS))
     # A cap comes after the operation of its sequence.
     inside = Window.partitionBy(*key, "r").orderBy("sequence", F.col("viewer").asc_nulls_first())

@@ -84,13 +84,13 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def branch_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set operations on the branches; a state for each event type. A branch's own lie after its branch point."""
     rows = events(spark, sf_dir).select((1 + F.col("user_id")).alias("branch"), (F.col("event_id") + 1).alias("sequence"), F.col("event_type").alias("state_id"), F.lit("Set").alias("op"), F.col("props").alias("value"))
-    points = branches(spark, sf_dir).select(F.col("id").alias("branch"), "branch_point")
+    points = branches(spark, sf_dir).select(F.col("id").alias("branch"), "branch_point").hint("merge")
     return rows.join(points, "branch").filter(F.col("sequence") > F.when(F.col("branch") == 1, 0).otherwise(F.col("branch_point"))).drop("branch_point")
 
 
 def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The branches with their heads: the last own operation, else the branch point."""
-    heads = branch_ops(spark, sf_dir).groupBy("branch").agg(F.max("sequence").alias("own"))
+    heads = branch_ops(spark, sf_dir).groupBy("branch").agg(F.max("sequence").alias("own")).hint("merge")
     rows = branches(spark, sf_dir)
     return rows.join(heads, rows["id"] == heads["branch"], "left").withColumn("head", F.greatest(F.coalesce("own", F.lit(0)), "branch_point")).drop("own", "branch")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake import errors
 from strandlake.functions import ordering
 from strandlake.operators import branches as br, records as rec, states, trees
+from strandlake.plans import catalog
 
 
 def test_visible_latest_over_many_ranges(spark, monkeypatch):
@@ -55,6 +56,15 @@ def test_lineage_of_more_than_a_million_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in br.ancestry(branches.filter("id < 12")).collect()) == sorted((i, j, i - j) for i in range(1, 12) for j in range(1, i + 1) if i != 9 != j and (i < 9 or j > 9))
 
 
+@pytest.mark.parametrize("name", ["b18_visible", "b18_visible_at_half", "b2_fork_states", "b3_empty_forks"])
+def test_tables_of_branches_are_not_broadcast(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(br, "BROADCAST_ROWS", 0)
+    found = catalog.queries()[name](spark, sf_dir)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_a_circle_of_branches_is_an_error(spark):
     branches = spark.createDataFrame([(1, "a", None, 0, None, True, False), (2, "b", 4, 1, 4, True, False), (3, "c", 2, 2, 2, True, False), (4, "d", 3, 3, 3, True, False)], BRANCH)
     with pytest.raises(errors.InvalidOperation):
