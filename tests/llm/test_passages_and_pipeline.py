@@ -204,6 +204,32 @@ def test_all_pairs_of_near_passages_are_linked(spark, monkeypatch):
         assert sum(r.n_links for r in got) >= 0.99 * 60 * 59 and {r.component_id for r in got} == {0}
 
 
+def test_a_passage_of_many_texts_meets_one_of_each_kind(spark):
+    """Where only repeated words matter, pairs grow with the texts, not with their square, and the same words go."""
+    rng = random.Random(61)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    passage = [word() for _ in range(70)]
+    docs = []
+    for i in range(120):
+        mid = list(passage)
+        if i % 10 == 9:
+            mid[rng.randrange(70)] = word()
+        docs.append((i, " ".join([word() for _ in range(40 + i % 7)] + mid + [word() for _ in range(40)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = compact_windows.row_key(df)
+    spans = []
+    for every in (True, False):
+        found, _ = compact_windows.passages(df, key, every)
+        pairs, covered = set(), {}
+        for r in found.collect():
+            pairs.add((r.first, r.doc_id))
+            covered.setdefault(r.doc_id, set()).update(range(r.begin, r.end + compact_windows.K))
+        spans.append((len(pairs), covered))
+    assert spans[0][1] == spans[1][1] and len(spans[0][1]) == 119
+    # Two copies that differ from the passage in different words may not be near enough.
+    assert spans[0][0] > 7000 > 120 * 20 > spans[1][0]
+
+
 def test_near_passages_go_whatever_stands_between(spark):
     """The later one of two near passages goes, with parts of it, too short for passages, in documents before each of them."""
     rng = random.Random(32)
