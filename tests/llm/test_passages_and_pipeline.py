@@ -230,6 +230,26 @@ def test_a_passage_of_many_texts_meets_one_of_each_kind(spark):
     assert spans[0][0] > 7000 > 120 * 20 > spans[1][0]
 
 
+def test_only_texts_with_candidates_are_sent(spark):
+    """None of the keys looked for is left out, few others stay, and a null text is no trouble."""
+    df = spark.createDataFrame([(i, i % 3, f"text {i}" if i % 5 else None) for i in range(2000)], "doc_id long, text_hash long, text string")
+    some = df.filter("doc_id % 10 = 0").select("doc_id", "text_hash")
+    bits = compact_windows.flags(some.unionByName(some), "doc_id", "text_hash")
+    got = {r.doc_id: r.text for r in compact_windows.flagged(df, bits, "doc_id", "text_hash").collect()}
+    assert set(range(0, 2000, 10)) <= set(got) and len(got) < 220
+    assert compact_windows.flagged(df, compact_windows.flags(some.limit(0), "doc_id"), "doc_id").count() == 0
+
+
+def test_pairs_of_a_large_group_come_some_columns_at_a_time():
+    """A group in which each two windows are alike: all pairs, once each, and never all at one time."""
+    m = 700
+    row, code = np.repeat(np.arange(m), 5), np.tile(np.arange(5), m)
+    parts = list(compact_windows.alike(np.zeros(m, np.int64), np.zeros(m, np.int64), row, code, np.full(m, 4)))
+    pairs = {(i, j) for a, b in parts for i, j in zip(a.tolist(), b.tolist())}
+    assert pairs == {(i, j) for j in range(m) for i in range(j)} and sum(len(a) for a, _ in parts) == len(pairs)
+    assert max(len(a) for a, _ in parts) <= 256 * m < len(pairs)
+
+
 def test_near_passages_go_whatever_stands_between(spark):
     """The later one of two near passages goes, with parts of it, too short for passages, in documents before each of them."""
     rng = random.Random(32)
