@@ -250,6 +250,61 @@ def test_pairs_of_a_large_group_come_some_columns_at_a_time():
     assert max(len(a) for a, _ in parts) <= 256 * m < len(pairs)
 
 
+def covered_by(found):
+    out = {}
+    for r in found:
+        out.setdefault(r.doc_id, set()).update(range(r.begin, r.end + compact_windows.K))
+    return out
+
+
+def test_different_near_copies_are_verified_only_where_they_may_add(spark):
+    """Of a family of near copies, all different, later ones are given all that any earlier one gives them, by few of these."""
+    rng = random.Random(71)
+    passage = words(rng, 120)
+    rows = []
+    for i in range(60):
+        own = list(passage)
+        own[30 + i] = f"e{i}"
+        rows.append((i, " ".join(words(rng, 40) + own + words(rng, 40))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every, some = (compact_windows.passages(df, compact_windows.row_key(df), x)[0].collect() for x in (True, False))
+    assert covered_by(every) == covered_by(some) and len(covered_by(some)) == 59
+    assert len({(r.first, r.doc_id) for r in every}) >= 0.99 * 60 * 59 / 2
+    assert len({(r.first, r.doc_id) for r in some}) <= 3 * 60
+
+
+def test_what_is_in_reach_holds_all_that_is_found():
+    """Against all stretches of plain hits, and against what is found in near copies with words put in, left out and repeated."""
+    rng = np.random.default_rng(72)
+    for _ in range(60):
+        parts = [rng.random(int(rng.integers(1, 200))) < rng.choice([0.5, 0.75, 0.8, 0.9]) for _ in range(int(rng.integers(1, 4)))]
+        hit, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        at, n = np.flatnonzero(hit), np.arange(int(hit.sum()))
+        got = compact_windows.within_reach(hit, first, 100 * n - 80 * at, 100 * (n + 1) - 80 * (at + 1))
+        want = np.zeros(len(hit), bool)
+        for p, x in zip(first.tolist(), parts):
+            sums, ends = np.concatenate([[0], np.cumsum(100 * x - 80)]), np.flatnonzero(x).tolist()
+            for l, r in ((l, r) for l in ends for r in ends if r - l + 1 >= compact_windows.LEAST and sums[r + 1] >= sums[l]):
+                want[p + l : p + r + 1] = True
+        assert (got == want).all()
+    for k in range(200):
+        # A small alphabet, or runs of one word, in every second case: places are not sure then.
+        base = rng.integers(1, 40 if k % 2 else 1 << 40, 150).astype(np.uint64)
+        if k % 4 == 3:
+            base = np.repeat(base[:5], 30)
+        theirs = base.copy()
+        for p in rng.integers(0, 150, rng.integers(0, 12)).tolist():
+            theirs = np.concatenate([theirs[:p], rng.integers(1 << 41, 1 << 42, int(rng.integers(0, 3))).astype(np.uint64), theirs[p + 1 :]])
+        for shift in (0, 3, -5):
+            found = np.zeros(len(base), bool)
+            for l, r in compact_windows.passages_of(base, theirs, shift):
+                found[l : r + 1] = True
+            known = (*np.unique(theirs, return_index=True, return_inverse=True, return_counts=True), compact_windows.apart(theirs))
+            # A part before it, so that places are counted over parts.
+            reach, first = compact_windows._reach([base[:70], base], [compact_windows.apart(base)[:71], compact_windows.apart(base)], known)
+            assert not (found & ~reach[first[1] :]).any()
+
+
 def test_near_passages_go_whatever_stands_between(spark):
     """The later one of two near passages goes, with parts of it, too short for passages, in documents before each of them."""
     rng = random.Random(32)
