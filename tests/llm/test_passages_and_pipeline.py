@@ -273,6 +273,18 @@ def test_different_near_copies_are_verified_only_where_they_may_add(spark):
     assert len({(r.first, r.doc_id) for r in some}) <= 3 * 60
 
 
+def test_candidates_on_one_diagonal_are_one_row(spark):
+    """Runs of one word have a window at each place, and each two of these meet: a row for each distance and hash, not for each two."""
+    rng = random.Random(73)
+    df = spark.createDataFrame([(i, " ".join(words(rng, 20) + ["x"] * (100 + 7 * i) + words(rng, 20))) for i in range(8)], "doc_id long, text string")
+    rows = compact_windows.keyed(df)
+    found = compact_windows.pair_windows(compact_windows.find_windows(rows)).filter("kind = 0")
+    met = compact_windows.meet(compact_windows.around(found, compact_windows._texts(rows, False))).collect()
+    assert 0 < len(met) <= compact_windows.HASHES * len({(r.first, r.doc_id, r.shift) for r in met})
+    got = compact_windows.op4_compact_windows(df).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(7, 0)}
+
+
 def test_what_is_in_reach_holds_all_that_is_found():
     """Against all stretches of plain hits, and against what is found in near copies with words put in, left out and repeated."""
     rng = np.random.default_rng(72)
